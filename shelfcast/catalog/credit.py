@@ -125,8 +125,8 @@ def binary_logit(spark, sf_dir):
 UNION ALL SELECT 'x', round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 6) FROM p""",
 )
 def logit_binary(spark, sf_dir):
-    fitted, rows = binary_logit(spark, sf_dir)
-    return rounded(fitted.coefficients(rows).select("term", "estimate"))
+    fitted, _ = binary_logit(spark, sf_dir)
+    return rounded(fitted.coefficients(spark).select("term", "estimate"))
 
 
 @query(

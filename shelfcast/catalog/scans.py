@@ -12,6 +12,7 @@ from shelfcast.operators import credit, filters
 from shelfcast.operators.features import PAIR_WEEK, weekly_stats
 from shelfcast.operators.hierarchy import HIER1, PCA, PR, P, attach_tiers, fit_tiers
 from shelfcast.plans.demand import hierarchy_forecast
+from shelfcast.schema import APPLICANT_NUMBERS
 from shelfcast.session import fresh_folder
 from shelfcast.sources import store, tables
 
@@ -54,7 +55,11 @@ def scan_brands(spark, sf_dir):
     return tables.read_brands(spark, written_csv(named, "brands"))
 
 
-@query("q_scan_applicants", fx("applicants_all") + "SELECT * FROM applicants_all")
+@query(
+    "q_scan_applicants",
+    fx("applicants_all") + "SELECT idx, target_flag, reason, job, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in APPLICANT_NUMBERS) + " FROM applicants_all",
+)
 def scan_applicants(spark, sf_dir):
     path = written_csv(fx_tables.applicants_all(spark, sf_dir), "applicants")
     return rounded(tables.read_applicants(spark, path))

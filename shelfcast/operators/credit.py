@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,15 +10,16 @@ from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from shelfcast.functions.scalars import known
 from shelfcast.operators.filters import cap
 from shelfcast.operators.models import fit_tree, in_parallel
+from shelfcast.session import cut_lineage
 
 # Upper limits, pooled-standardised columns and interactions of the scoring model.
 CAPS = {"loan": 60000.0, "mortdue": 200000.0, "value": 300000.0, "clage": 500.0, "clno": 60.0, "debtinc": 60.0}
@@ -66,30 +68,41 @@ def impute_by_tree(
 
     Columns are filled in order and later trees see earlier fills. The same tree fills the test rows.
     A predictor still missing at its turn is replaced by its training mean for that tree only; the
-    filled column is not among its own predictors. Every fill is a projection, so no rows move.
+    filled column is not among its own predictors. The training rows are written once; after that
+    every fill is a projection, so no rows move.
     """
+    train = cut_lineage(train)
     columns = list(columns) if columns is not None else missing_columns(train, predictors)
     if flags:
         train, test = missing_flags(train, columns), missing_flags(test, columns)
+    numbers = [c for c in predictors if is_number(train, c)]
+    categories = [c for c in predictors if c not in numbers]
+    stages = []
+    if categories:
+        stages.append(
+            StringIndexer(
+                inputCols=categories, outputCols=[f"{c}__in" for c in categories], handleInvalid="keep",
+                stringOrderType="alphabetAsc",
+            )
+        )
+    if numbers:
+        # A column keeps its training mean until its own turn, so the means are taken once.
+        stages.append(Imputer(strategy="mean", inputCols=numbers, outputCols=[f"{c}__in" for c in numbers]))
+    prepare = Pipeline(stages=stages).fit(train)
+    made = [f"{c}__in" for c in predictors]
+
     for column in columns:
-        inputs = [c for c in predictors if c != column]
-        numbers = [c for c in inputs if is_number(train, c)]
-        categories = [c for c in inputs if c not in numbers]
-        stages = [
-            StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep", stringOrderType="alphabetAsc")
-            for c in categories
-        ]
-        if numbers:
-            stages.append(Imputer(strategy="mean", inputCols=numbers, outputCols=[f"{c}__in" for c in numbers]))
-        made = [f"{c}__code" for c in categories] + [f"{c}__in" for c in numbers]
-        stages.append(VectorAssembler(inputCols=made, outputCol="features"))
-        prepare = Pipeline(stages=stages).fit(train)
-        tree = fit_tree(
-            prepare.transform(train.where(F.col(column).isNotNull())), column, max_depth, min_rows, max_bins
-        ).setPredictionCol("__fill")
+        inputs = [f"{c}__in" for c in predictors if c != column]
+        assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+
+        def ready(df: DataFrame) -> DataFrame:
+            return assembler.transform(prepare.transform(df))
+
+        known_rows = ready(train.where(F.col(column).isNotNull())).select("features", column)
+        tree = fit_tree(known_rows, column, max_depth, min_rows, max_bins).setPredictionCol("__fill")
 
         def fill(df: DataFrame) -> DataFrame:
-            filled = tree.transform(prepare.transform(df)).withColumn(column, F.coalesce(known(F.col(column)), "__fill"))
+            filled = tree.transform(ready(df)).withColumn(column, F.coalesce(known(F.col(column)), "__fill"))
             return filled.drop("__fill", "features", *made)
 
         train, test = fill(train), fill(test)
@@ -130,20 +143,35 @@ def prepare_applicants(
     return interactions(train), interactions(test)
 
 
-def fit_design(train: DataFrame, terms: Sequence[str], features: str = "features") -> PipelineModel:
-    """Design matrix: numbers as they are, a category as one column per level but the first."""
+def category_levels(train: DataFrame, terms: Sequence[str]) -> dict[str, list[str]]:
+    """Levels of the categorical terms in alphabetical order."""
     categories = [t for t in terms if not is_number(train, t)]
-    stages = [
-        StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep", stringOrderType="alphabetDesc")
-        for c in categories
-    ]
-    if categories:
-        stages.append(
-            OneHotEncoder(inputCols=[f"{c}__code" for c in categories], outputCols=[f"{c}__levels" for c in categories])
-        )
-    inputs = [f"{t}__levels" if t in categories else t for t in terms]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=features))
-    return Pipeline(stages=stages).fit(train)
+    if not categories:
+        return {}
+    made = [f"{c}__code" for c in categories]
+    indexer = StringIndexer(inputCols=categories, outputCols=made, stringOrderType="alphabetAsc").fit(train)
+    return dict(zip(categories, map(list, indexer.labelsArray)))
+
+
+def design(terms: Sequence[str], levels: Mapping[str, Sequence[str]], features: str = "features") -> PipelineModel:
+    """Design matrix: numbers as they are, a category as one 0/1 column per level but the first.
+
+    A level that was not in the training rows counts as the first level.
+    """
+
+    def is_level(category: str, level: str) -> str:
+        text = level.replace("\\", "\\\\").replace("'", "\\'")
+        return f"CASE WHEN {category} = '{text}' THEN 1 ELSE 0 END"
+
+    columns = {
+        t: {f"{t}_{i}_{re.sub(r'[^A-Za-z0-9]+', '_', lv)}": is_level(t, lv) for i, lv in enumerate(levels[t]) if i}
+        for t in terms
+        if t in levels
+    }
+    made = [f"{sql} AS `{name}`" for part in columns.values() for name, sql in part.items()]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")] if made else []
+    inputs = [name for t in terms for name in (columns[t] if t in columns else [t])]
+    return PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol=features)])
 
 
 @dataclass(frozen=True)
@@ -162,28 +190,31 @@ class Logit:
         scored = self.model.setPredictionCol(name).transform(self.design.transform(df))
         return scored.select(*df.columns, name)
 
-    def coefficients(self, df: DataFrame) -> DataFrame:
+    def coefficients(self, spark: SparkSession) -> DataFrame:
         """Estimate, standard error and p-value per design column."""
-        attrs = self.design.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
-        names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
         summary = self.model.summary
-        labels = [names[i] for i in sorted(names)] + ["(intercept)"]
+        labels = [*self.design.stages[-1].getInputCols(), "(intercept)"]
         estimates = [*self.model.coefficients.toArray().tolist(), self.model.intercept]
         rows = list(zip(labels, estimates, summary.coefficientStandardErrors, summary.pValues))
-        return df.sparkSession.createDataFrame(
+        return spark.createDataFrame(
             rows, "term STRING, estimate DOUBLE, std_error DOUBLE, p_value DOUBLE"
         )
 
 
 def fit_logit(
-    train: DataFrame, terms: Sequence[str] = LOGIT_TERMS, label: str = "target_flag", max_iter: int = 50, tol: float = 1e-8
+    train: DataFrame,
+    terms: Sequence[str] = LOGIT_TERMS,
+    label: str = "target_flag",
+    max_iter: int = 50,
+    tol: float = 1e-8,
+    levels: Mapping[str, Sequence[str]] | None = None,
 ) -> Logit:
-    """Logistic regression by iteratively reweighted least squares. No terms gives the intercept model."""
-    design = fit_design(train, terms)
+    """Logistic regression by iteratively reweighted least squares."""
+    matrix = design(terms, category_levels(train, terms) if levels is None else levels)
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="features", labelCol=label, maxIter=max_iter, tol=tol
     )
-    return Logit(tuple(terms), design, glm.fit(design.transform(train)))
+    return Logit(tuple(terms), matrix, glm.fit(matrix.transform(train).select("features", label)))
 
 
 @dataclass(frozen=True)
@@ -208,14 +239,15 @@ def stepwise_aic(
     A category enters or leaves whole. Each candidate is one distributed fit; only AIC values reach
     the driver. ``train`` is read for every fit, so pass a written or persisted table.
     """
-    current = fit_logit(train, terms, label)
+    levels = category_levels(train, terms)
+    current = fit_logit(train, terms, label, levels=levels)
     moves = [Move(0, "start", "", current.aic)]
     while len(moves) <= max_steps:
         kept = current.terms
         options = [("drop", t, tuple(k for k in kept if k != t)) for t in kept if len(kept) > 1]
         options += [("add", t, (*kept, t)) for t in terms if t not in kept]
         fits = in_parallel(
-            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label) for o in options], workers
+            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels) for o in options], workers
         )
         (action, term, _), best = min(zip(options, fits), key=lambda pair: pair[1].aic)
         if best.aic >= current.aic - 1e-7:
@@ -258,11 +290,9 @@ def fit_mlp_ensemble(
     workers: int = 2,
 ) -> MlpEnsemble:
     """Neural classifiers with seeds 1, 2, ...: sigmoid layers, trained by L-BFGS on all partitions."""
-    design = fit_design(train, terms)
-    ready = design.transform(train).select("features", label)
-    width = len(ready.schema["features"].metadata["ml_attr"]["attrs"].get("numeric", [])) + len(
-        ready.schema["features"].metadata["ml_attr"]["attrs"].get("binary", [])
-    )
+    matrix = design(terms, category_levels(train, terms))
+    ready = cut_lineage(matrix.transform(train).select("features", label))
+    width = len(matrix.stages[-1].getInputCols())
 
     def fit(seed: int):
         return MultilayerPerceptronClassifier(
@@ -270,4 +300,4 @@ def fit_mlp_ensemble(
         ).fit(ready)
 
     models = in_parallel(train.sparkSession, [lambda s=s: fit(s) for s in range(1, fits + 1)], workers)
-    return MlpEnsemble(design, tuple(models))
+    return MlpEnsemble(matrix, tuple(models))
