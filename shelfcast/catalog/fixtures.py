@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 REQUEST_COLUMNS = ("id", "week", "agency_id", "channel_id", "route_id", "client_id", "product_id")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def star(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """Scan of a given table; its footer is read once per path, not once per query."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,9 +39,16 @@ def demand_counts(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Every statistic below follows from these counts. Demand is a whole number in a bounded range, so
     a key that owns a third of all rows still has few of them after the map-side combine, and an
-    exact median never has to gather its rows.
+    exact median never has to gather its rows. Keys are declared non-null; stating it gives all users
+    of the same counts the same plan, so that Spark shuffles the sales rows once for them.
     """
-    return sales.groupBy(*keys, "demand").agg(F.count("*").alias("n"))
+    complete = sales.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    return complete.groupBy(*keys, "demand").agg(F.count("*").alias("n"))
+
+
+def roll_up(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts on coarser keys, without another pass over the sales rows."""
+    return counts.groupBy(*keys, "demand").agg(F.sum("n").alias("n"))
 
 
 def demand_stats(counts: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -69,16 +78,16 @@ def weekly_stats(sales: DataFrame, grain: Grain, approximate: bool = False) -> D
     return demand_stats(demand_counts(sales, keys), keys, grain.prefix).drop("rows")
 
 
-def pair_stats(sales: DataFrame) -> DataFrame:
-    """Statistics of a product-client pair over all weeks; ``multi`` is 1 from two rows on.
-
-    It starts from the same counts as the pair's weekly statistics, so a plan that uses both shuffles
-    the sales rows once.
-    """
-    stats = demand_stats(demand_counts(sales, [*PAIR, "week"]), PAIR, "pc")
+def pair_totals(pair_counts: DataFrame) -> DataFrame:
+    stats = demand_stats(pair_counts, PAIR, "pc")
     return stats.withColumn("multi", (F.col("rows") >= 2).cast("int")).drop("rows")
 
 
+def pair_stats(sales: DataFrame) -> DataFrame:
+    """Statistics of a product-client pair over all weeks; ``multi`` is 1 from two rows on."""
+    return pair_totals(demand_counts(sales, [*PAIR, "week"]))
+
+
 def weekly_lookup(weekly: DataFrame, grain: Grain, stats: Sequence[str] = STATS) -> DataFrame:
     """One row per key with a map from week to its statistics.
 
@@ -159,12 +168,24 @@ class FeatureTables:
 
 
 def build_features(history: DataFrame, brands: DataFrame) -> FeatureTables:
+    """All feature tables from two passes over the history.
+
+    The pair counts also give the pair's overall and the client's weekly statistics; the
+    product-route counts also give the route's.
+    """
+    pair_counts = demand_counts(history, [*PAIR, "week"])
+    route_counts = demand_counts(history, [*PRODUCT_ROUTE_WEEK.keys, "week"])
+
+    def weekly(counts: DataFrame, grain: Grain, coarser: bool = False) -> DataFrame:
+        keys = [*grain.keys, "week"]
+        return demand_stats(roll_up(counts, keys) if coarser else counts, keys, grain.prefix).drop("rows")
+
     return FeatureTables(
-        pair=pair_stats(history),
-        pair_week=weekly_stats(history, PAIR_WEEK),
-        client_week=weekly_stats(history, CLIENT_WEEK),
-        product_route_week=weekly_stats(history, PRODUCT_ROUTE_WEEK),
-        route_week=weekly_stats(history, ROUTE_WEEK),
+        pair=pair_totals(pair_counts),
+        pair_week=weekly(pair_counts, PAIR_WEEK),
+        client_week=weekly(pair_counts, CLIENT_WEEK, coarser=True),
+        product_route_week=weekly(route_counts, PRODUCT_ROUTE_WEEK),
+        route_week=weekly(route_counts, ROUTE_WEEK, coarser=True),
         brands=brands,
     )
 

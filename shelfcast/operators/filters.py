@@ -45,27 +45,31 @@ def exact_sample(df: DataFrame, fraction: float, key: str = "id", salt: str = ""
 
     ``key`` must be unique. A count per hash bucket finds the one bucket in which the quota runs out,
     only that bucket (about one row in a million) is ranked, and the rows are then chosen by a filter
-    against the resulting cut-off. No full sort, and no row passes through the driver.
+    against the resulting cut-off. The driver sees two single rows; there is no full sort.
     """
     drawn = hash_text(F.col(key), salt)
     bucket = F.conv(F.substring(drawn, 1, 5), 16, 10).cast("int")
     counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     # The bucket table has at most SAMPLE_BUCKETS rows, so one task may run through it in order.
+    everything = Window.partitionBy()
     in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counts.select("bucket", "n", F.sum("n").over(in_order).alias("upto"))
-    quota = counts.select(F.bround(F.sum("n") * F.lit(fraction), 0).cast("bigint").alias("quota"))
-    edge = (
-        reached.withColumn("quota", quota.scalar())
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(F.struct("bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("take")))
+    reached = counts.select(
+        "bucket",
+        "n",
+        F.sum("n").over(in_order).alias("upto"),
+        F.bround(F.sum("n").over(everything) * F.lit(fraction), 0).cast("bigint").alias("quota"),
     )
+    edge = reached.where("upto >= quota AND upto - n < quota").select("bucket", (F.expr("quota - upto + n")).alias("take")).first()
+    if edge is None:
+        return df.limit(0)
+    place = F.struct(drawn.alias("drawn"), F.col(key).alias("key"))
     ranked = (
-        df.select(F.struct(drawn.alias("drawn"), F.col(key).alias("key")).alias("place"), bucket.alias("bucket"))
-        .where(F.col("bucket") == edge.scalar()["bucket"])
+        df.where(bucket == edge["bucket"])
+        .select(place.alias("place"))
         .withColumn("rank", F.row_number().over(Window.orderBy("place")))
     )
-    cutoff = ranked.where(F.col("rank") == edge.scalar()["take"]).select("place")
-    return df.where(F.struct(drawn.alias("drawn"), F.col(key).alias("key")) <= cutoff.scalar())
+    last = ranked.where(F.col("rank") == edge["take"]).select("place.*").first()
+    return df.where((drawn < last["drawn"]) | ((drawn == last["drawn"]) & (F.col(key) <= last["key"])))
 
 
 def hash_split(df: DataFrame, fraction: float = 0.7, key: str = "idx", salt: str = "") -> tuple[DataFrame, DataFrame]:

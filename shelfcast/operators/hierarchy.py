@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -100,15 +102,17 @@ TIER_INPUTS = {"pca": (0.75, 0.75), "pr": (0.8, 0.1), "p": (1.15, 0.25)}
 def fit_tiers(sales: DataFrame, tiers: Iterable[Tier] = TIERS) -> dict[str, DataFrame]:
     """One table per tier, keyed by its group.
 
-    Mean tiers are rolled up from one shared table of sums and counts on the union of their keys, so
-    the sales rows are read and shuffled once. A median tier first counts rows per demand value,
-    which keeps a group that owns most rows small before its one task sees it.
+    Mean tiers are rolled up from one shared table of sums and counts on the union of their keys. Ids
+    are declared non-null; saying so here gives every tier the same plan below that table, and Spark
+    then reads and shuffles the sales rows once for all of them. A median tier first counts rows per
+    demand value, which keeps a group that owns most rows small before its one task sees it.
     """
     tiers = list(tiers)
     means = [t for t in tiers if t.stat == "mean"]
     finest = list(dict.fromkeys(k for t in means for k in t.keys))
     value = log_demand(F.col("demand"))
-    base = sales.groupBy(*finest).agg(F.sum(value).alias("s"), F.count(value).alias("n")) if means else None
+    complete = sales.where(reduce(and_, [F.col(k).isNotNull() for k in finest])) if means else sales
+    base = complete.groupBy(*finest).agg(F.sum(value).alias("s"), F.count(value).alias("n")) if means else None
     fitted = {}
     for tier in tiers:
         if tier.stat == "mean":

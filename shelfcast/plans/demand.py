@@ -29,7 +29,7 @@ from shelfcast.operators.models import (
     predict_demand,
     refit,
 )
-from shelfcast.session import cut_lineage
+from shelfcast.session import cut_lineage, spread
 
 LATEST_HIERARCHIES = {"hp1": HIER1, "hp2": HIER2, "hp3": HIER3}
 
@@ -52,7 +52,8 @@ def training_matrix(
     """Assembled training rows ``(id, features, target)``, written once: every fit reads them many times."""
     rows = week_range(demand_between(sales), after, last)
     rows = hash_sample(rows, sample) if sample else rows
-    return cut_lineage(assemble(model_table(rows, features), inputs).select("id", "features", "target"))
+    matrix = cut_lineage(assemble(model_table(rows, features), inputs).select("id", "features", "target"))
+    return spread(matrix, "id")
 
 
 @dataclass(frozen=True)

@@ -21,6 +21,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a hot join key even where the split costs one more shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Hash instead of sort where the measured partitions of one side are small.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
     } | conf
     builder = SparkSession.builder.appName("shelfcast")
@@ -58,3 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small written table a partition per core, for fits that are bound by computation.
+
+    A table that already has that many partitions, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
