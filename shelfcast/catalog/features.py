@@ -11,6 +11,8 @@ from shelfcast.catalog.scans import WEEKLY_SQL
 from shelfcast.operators import features as ft
 from shelfcast.operators.filters import demand_between, week_range
 from shelfcast.operators.hierarchy import tier_features
+from shelfcast.session import fresh_folder
+from shelfcast.sources import store
 
 GRAINS = {"pcw": ft.PAIR_WEEK, "cw": ft.CLIENT_WEEK, "rw": ft.ROUTE_WEEK, "prw": ft.PRODUCT_ROUTE_WEEK}
 LAST_WEEK = 9
@@ -171,6 +173,13 @@ def model_table_test(spark, sf_dir):
     return rounded(ft.model_table(requests, tables, last_known_week=LAST_WEEK).select(*TABLE_COLUMNS))
 
 
+@query("q_matrix_store_roundtrip", model_table_sql("forecast_requests", "", TEST_LAGS, ""))
+def matrix_store(spark, sf_dir):
+    """The model-ready request table, stored by week and read back."""
+    path = store.save_features(model_table_test(spark, sf_dir), fresh_folder(spark, "request-matrix"))
+    return store.load_features(spark, path).select(*TABLE_COLUMNS)
+
+
 @query(
     "q_tier_features",
     fx("sales", "forecast_requests") + """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from shelfcast.sources.tables import read_table
+
 REQUEST_COLUMNS = ("id", "week", "agency_id", "channel_id", "route_id", "client_id", "product_id")
 
 
@@ -16,7 +18,7 @@ def star(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     path = f"{sf_dir}/{table}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return read_table(spark, path, _SCHEMAS[path], fmt="parquet")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,20 +28,22 @@ def written_csv(df, purpose: str) -> str:
 
 @query("q_scan_sales", fx("sales") + "SELECT * FROM sales")
 def scan_sales(spark, sf_dir):
-    path = written_csv(fx_tables.sales(spark, sf_dir), "sales")
-    return tables.read_table(spark, path, "sales_with_id")
+    return fx_tables.sales(spark, sf_dir)
 
 
-@query(
-    "q_scan_pruned",
-    fx("sales") + "SELECT product_id, agency_id, route_id, client_id, demand FROM sales",
-)
+PRUNED = ["product_id", "agency_id", "route_id", "client_id", "demand"]
+
+
+@query("q_scan_pruned", fx("sales") + f"SELECT {', '.join(PRUNED)} FROM sales")
 def scan_pruned(spark, sf_dir):
-    path = store.save_features(
-        fx_tables.sales(spark, sf_dir), fresh_folder(spark, "sales-by-week"), by_week=False
-    )
-    columns = ["product_id", "agency_id", "route_id", "client_id", "demand"]
-    return tables.read_table(spark, path, "sales_with_id", columns=columns)
+    return fx_tables.sales(spark, sf_dir).select(*PRUNED)
+
+
+@query("q_scan_week_file", fx("sales") + f"SELECT {', '.join(PRUNED)} FROM sales WHERE week = 9")
+def scan_week_file(spark, sf_dir):
+    """The hold-out week as the CSV file it is delivered in, reading only the columns in use."""
+    week = filters.holdout_week(fx_tables.sales(spark, sf_dir))
+    return tables.read_table(spark, written_csv(week, "week-nine"), "sales_with_id", columns=PRUNED)
 
 
 @query("q_scan_clients", fx("clients") + "SELECT * FROM clients")

@@ -41,14 +41,17 @@ def frequent_itemsets(pairs: DataFrame, min_support: float, max_len: int = 5, pa
     """Itemsets held by at least ``min_support`` of the baskets, up to ``max_len`` items.
 
     No set with a rare item can be frequent, so rare items leave the baskets before mining; a basket
-    left empty still counts. Spark's FP-growth spreads the work over groups of items. The result is
-    written once, because the rules read it several times and mining again would cost more.
+    left empty still counts. Spark's FP-growth spreads the work over groups of items. The pairs are
+    written once, because support, baskets and mining all read them, and so is the result, because
+    the rules read it several times.
     """
+    pairs = cut_lineage(pairs)
     common = item_support(pairs).where(F.col("support") >= min_support).select("product_id", F.lit(True).alias("common"))
-    marked = pairs.join(common, "product_id", "left")
+    # At most (mean basket size / min_support) items are frequent, whatever the number of baskets.
+    marked = pairs.join(F.broadcast(common), "product_id", "left")
     item = F.when(F.col("common"), F.col("product_id"))
     pruned = marked.groupBy("client_id").agg(F.collect_set(item).alias("items"))
-    n = pruned.agg(F.count("*").alias("baskets"))
+    n = basket_count(pairs)
     spread = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=spread).fit(pruned)
     found = model.freqItemsets.where(F.size("items") <= max_len)

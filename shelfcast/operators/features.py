@@ -10,6 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfcast.functions.scalars import log_target
+from shelfcast.operators.skew import find_hot_keys, lookup_join
 from shelfcast.schema import PAIR
 
 STATS = ("total", "mean", "median")
@@ -135,9 +136,10 @@ def attach_lags(
     stats: Sequence[str] = STATS,
     lags: Sequence[int] = LAGS,
     last_known_week: int | None = None,
+    hot: Mapping[tuple[str, ...], DataFrame] | None = None,
 ) -> DataFrame:
     """Add earlier weeks' statistics of the row's own key; NULL where that week had no sales."""
-    joined = df.join(weekly_lookup(weekly, grain, stats), list(grain.keys), "left")
+    joined = lookup_join(df, weekly_lookup(weekly, grain, stats), grain.keys, hot)
     return read_lags(joined, grain, stats, lags, last_known_week)
 
 
@@ -151,8 +153,10 @@ def brand_feature(df: DataFrame, brands: DataFrame, unknown: int = UNKNOWN_BRAND
     return attach_brand(df, brands).withColumn("cat_brand", category).drop("brand")
 
 
-def attach_pair_features(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    return df.join(pairs, list(PAIR), "left")
+def attach_pair_features(
+    df: DataFrame, pairs: DataFrame, hot: Mapping[tuple[str, ...], DataFrame] | None = None
+) -> DataFrame:
+    return lookup_join(df, pairs, PAIR, hot)
 
 
 @dataclass(frozen=True)
@@ -203,22 +207,31 @@ ZERO_FILLED: Mapping[str, float] = {
 }
 
 
+FEATURE_KEYS = tuple(g.keys for g in (PAIR_WEEK, CLIENT_WEEK, PRODUCT_ROUTE_WEEK, ROUTE_WEEK))
+
+
 def model_table(
-    rows: DataFrame, features: FeatureTables, last_known_week: int | None = None, stats: Sequence[str] = STATS
+    rows: DataFrame,
+    features: FeatureTables,
+    last_known_week: int | None = None,
+    stats: Sequence[str] = STATS,
+    hot: Mapping[tuple[str, ...], DataFrame] | None = None,
 ) -> DataFrame:
     """Attach every feature to training or request rows; row count and ``id`` are unchanged.
 
     ``last_known_week`` marks request rows. The pair's weekly map and its overall statistics share
-    their keys, so they meet before the join and the rows shuffle once for both.
+    their keys, so they meet before the join and the rows shuffle once for both. ``hot`` holds the
+    rows' hot keys; they are looked for when it is not given.
     """
+    hot = find_hot_keys(rows, FEATURE_KEYS) if hot is None else hot
     pair = weekly_lookup(features.pair_week, PAIR_WEEK).join(features.pair, list(PAIR))
     df = brand_feature(rows.withColumn("channel_id", F.lit(1.0)), features.brands)
-    df = read_lags(attach_pair_features(df, pair), PAIR_WEEK, last_known_week=last_known_week)
+    df = read_lags(attach_pair_features(df, pair, hot), PAIR_WEEK, last_known_week=last_known_week)
     for grain, weekly in (
         (CLIENT_WEEK, features.client_week),
         (PRODUCT_ROUTE_WEEK, features.product_route_week),
         (ROUTE_WEEK, features.route_week),
     ):
-        df = attach_lags(df, weekly, grain, stats, last_known_week=last_known_week)
+        df = attach_lags(df, weekly, grain, stats, last_known_week=last_known_week, hot=hot)
     df = df.fillna({c: v for c, v in ZERO_FILLED.items() if c in df.columns})
     return df.withColumn("target", log_target(F.col("demand"))) if "demand" in df.columns else df

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfcast.functions.scalars import known, log_demand
 from shelfcast.operators.filters import fill_from
 from shelfcast.operators.features import DEFAULT_PRODUCT_MEAN
+from shelfcast.operators.skew import find_hot_keys, lookup_join
 
 
 @dataclass(frozen=True)
@@ -133,14 +134,18 @@ def global_level(sales: DataFrame, fallback: Fallback) -> DataFrame:
     return counts.agg((F.percentile("demand", 0.5, F.col("n")) + fallback.offset).alias("global_level"))
 
 
-def attach_tiers(requests: DataFrame, tiers: Mapping[str, DataFrame]) -> DataFrame:
+def attach_tiers(
+    requests: DataFrame, tiers: Mapping[str, DataFrame], hot: Mapping[tuple[str, ...], DataFrame] | None = None
+) -> DataFrame:
     """Left join every tier table; keys are unique on the right, so no request row is repeated.
 
-    No broadcast is forced: Spark broadcasts a tier whose measured size allows it and sort-merges the
-    others, splitting hot keys of the requests at run time.
+    No broadcast is forced: Spark broadcasts a tier whose measured size allows it and shuffles the
+    others. Hot keys of the requests are split; they are looked for when ``hot`` is not given.
     """
+    keys = {name: tuple(c for c in table.columns if c != name) for name, table in tiers.items()}
+    hot = find_hot_keys(requests, keys.values()) if hot is None else hot
     for name, table in tiers.items():
-        requests = requests.join(table, [c for c in table.columns if c != name], "left")
+        requests = lookup_join(requests, table, keys[name], hot)
     return requests
 
 
@@ -163,10 +168,11 @@ def predict_hierarchies(
     hierarchies: Mapping[str, Hierarchy],
     tiers: Sequence[Tier] = TIERS,
     keep: Sequence[str] = ("id",),
+    hot: Mapping[tuple[str, ...], DataFrame] | None = None,
 ) -> DataFrame:
     """One prediction column per hierarchy; the tiers they share are fitted and joined once."""
     used = set().union(*[h.tier_names() for h in hierarchies.values()])
-    attached = attach_tiers(requests, fit_tiers(sales, [t for t in tiers if t.name in used]))
+    attached = attach_tiers(requests, fit_tiers(sales, [t for t in tiers if t.name in used]), hot)
     return attached.select(
         *keep,
         *[

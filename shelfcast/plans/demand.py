@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.operators.ensemble import combine_predictions, ensemble
+from shelfcast.operators.ensemble import ensemble
 from shelfcast.operators.evaluate import rmsle
-from shelfcast.operators.features import FeatureTables, build_features, model_table
+from shelfcast.operators.features import FEATURE_KEYS, FeatureTables, build_features, model_table
 from shelfcast.operators.filters import demand_between, hash_sample, week_range
 from shelfcast.operators.hierarchy import (
     HIER1,
     HIER2,
     HIER3,
     HOLDOUT,
+    TIERS,
     Hierarchy,
     predict_hierarchies,
 )
@@ -29,6 +30,7 @@ from shelfcast.operators.models import (
     predict_demand,
     refit,
 )
+from shelfcast.operators.skew import find_hot_keys
 from shelfcast.session import cut_lineage, spread
 
 LATEST_HIERARCHIES = {"hp1": HIER1, "hp2": HIER2, "hp3": HIER3}
@@ -76,14 +78,20 @@ def forecast(
     negative: float = 0.0,
     cap: float | None = None,
 ) -> Forecast:
-    """Boosted and back-off forecasts with all their ensembles, one row per request."""
+    """Boosted and back-off forecasts with all their ensembles, one row per request.
+
+    The boosted prediction stays on the request row while the back-off means are attached to it, so
+    the two sets of predictions never have to be joined with each other.
+    """
     features = build_features(demand_between(sales), brands)
     matrix = training_matrix(sales, features, last_known_week - 4, last_known_week, sample)
     tuning = cv_rounds(matrix, params, tune_folds) if tune_folds else None
     model = refit(matrix, params, tuning) if tuning else fit_boosted(matrix, params)
-    rows = assemble(model_table(requests, features, last_known_week), LATEST_INPUTS)
-    boosted = predict_demand(model, rows, negative, cap).select("id", "boosted")
-    return Forecast(ensemble(combine_predictions(boosted, hierarchy_forecast(requests, sales))), model, tuning)
+    hot = find_hot_keys(requests, [*FEATURE_KEYS, *[t.keys for t in TIERS]])
+    rows = assemble(model_table(requests, features, last_known_week, hot=hot), LATEST_INPUTS)
+    boosted = predict_demand(model, rows, negative, cap).select(*requests.columns, "boosted")
+    predictions = predict_hierarchies(boosted, sales, LATEST_HIERARCHIES, keep=("id", "boosted"), hot=hot)
+    return Forecast(ensemble(predictions), model, tuning)
 
 
 def split_holdout(sales: DataFrame, week: int = 9, faithful: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from shelfcast.schema import APPLICANT_CATEGORIES, TABLES
 
@@ -13,18 +13,19 @@ from shelfcast.schema import APPLICANT_CATEGORIES, TABLES
 def read_table(
     spark: SparkSession,
     path: str,
-    table: str,
+    table: str | StructType,
     columns: Sequence[str] | None = None,
     fmt: str | None = None,
 ) -> DataFrame:
     """Scan a CSV, Parquet, ORC or JSON table with its declared schema.
 
-    ``table`` is a name from the schema module, or a column list such as ``"a INT, b STRING"``.
+    ``table`` is a name from the schema module, a column list such as ``"a INT, b STRING"``, or a schema.
     ``fmt`` defaults to the file suffix, else Parquet. ``columns`` limits the scan: columnar files
     read only those columns. A malformed text row fails the job instead of becoming NULLs.
     """
     fmt = fmt or next((s for s in ("csv", "orc", "json") if path.rstrip("/").endswith("." + s)), "parquet")
-    reader = spark.read.schema(TABLES.get(table, table))
+    schema = TABLES.get(table, table) if isinstance(table, str) else table
+    reader = spark.read.schema(schema)
     if fmt in ("csv", "json"):
         reader = reader.option("mode", "FAILFAST")
     if fmt == "csv":

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures
 from shelfcast.operators import baskets as bk, features as ft, filters, hierarchy as hi, models as md
+from shelfcast.operators.skew import find_hot_keys, lookup_join
 from shelfcast.plans import demand
 from test_semantics import requests, sales_rows
 
@@ -69,6 +70,43 @@ def test_tiers_with_a_hot_key_match_brute_force(spark, skewed):
         assert out[f"r{i}"] == pytest.approx(expected)
 
 
+def test_hot_keys_are_found_and_bounded(spark, skewed):
+    hot = find_hot_keys(sales_rows(spark, skewed), [("client_id",), ("product_id", "route_id"), ("week",)], fraction=1.0)
+    assert [(r["client_id"], r["pieces"]) for r in hot["client_id",].collect()] == [(1, 4)]
+    assert [(r["product_id"], r["route_id"]) for r in hot["product_id", "route_id"].collect()] == [(1, 1)]
+    assert ("week",) not in hot
+    assert find_hot_keys(sales_rows(spark, skewed[:20]), [("client_id",)]) == {}
+
+
+def test_salted_joins_give_the_plain_result(spark, skewed):
+    known = sales_rows(spark, skewed)
+    wanted = requests(spark, [(10 + i % 2, a, r, c, p) for i, (_, a, r, c, p, _) in enumerate(skewed)])
+    brands = spark.createDataFrame([(1, "B", 3)], "product_id LONG, brand STRING, cat_brand INT")
+    tables = ft.build_features(known, brands)
+    hot = find_hot_keys(wanted, [*ft.FEATURE_KEYS, *[t.keys for t in hi.TIERS]], fraction=1.0)
+    assert set(hot) == {*ft.FEATURE_KEYS, *[t.keys for t in hi.TIERS]}
+    columns = ["id", *ft.PAIR_COLUMNS, *ft.LAG_MEDIANS]
+    salted, plain = (ft.model_table(wanted, tables, 9, hot=h).select(columns) for h in (hot, {}))
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    salted, plain = (hi.predict_hierarchies(wanted, known, {"h": hi.HIER3}, hot=h) for h in (hot, {}))
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_hot_key_is_split_over_partitions(spark, skewed):
+    wanted = requests(spark, [(10, a, r, c, p) for _, a, r, c, p, _ in skewed])
+    hot = find_hot_keys(wanted, [("client_id",)], fraction=1.0)
+    table = ft.weekly_lookup(ft.weekly_stats(sales_rows(spark, skewed), ft.CLIENT_WEEK), ft.CLIENT_WEEK)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup_join(wanted, table, ["client_id"], hot)
+        places = joined.where("client_id = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert places > 1
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(n=st.integers(0, 300), fraction=st.sampled_from([0.0, 0.001, 0.05, 0.5, 1.0]))
 def test_exact_sample_takes_the_lowest_hashes(spark, n, fraction):
