@@ -27,18 +27,17 @@ def find_hot_keys(
     names = list(dict.fromkeys(k for keys in sets for k in keys))
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = rows.select(*names).sample(fraction, seed=1).persist()
-    try:
-        total = sample.count()
-        floor = max(min_rows, 2 * total / partitions)
-        if total < floor:
-            return {}
-        counts = sample.groupingSets([[F.col(k) for k in keys] for keys in sets], *names).agg(
-            F.grouping_id().alias("level"), F.count("*").alias("n")
-        )
-        found = counts.where(F.col("n") >= floor).collect()
-    finally:
-        sample.unpersist()
+    sample = rows.select(*names).sample(fraction, seed=1)
+    counts = sample.groupingSets([[], *[[F.col(k) for k in keys] for keys in sets]], *names).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n")
+    )
+    # The grand total comes first, then at most partitions / 2 keys per set that are large enough.
+    found = counts.orderBy(F.desc("n"), F.desc("level")).limit(1 + len(sets) * partitions // 2).collect()
+    total = found[0]["n"] if found else 0
+    floor = max(min_rows, 2 * total / partitions)
+    found = [r for r in found[1:] if r["n"] >= floor]
+    if not found:
+        return {}
     types = dict(rows.select(*names).dtypes)
     hot = {}
     for keys in sets:
