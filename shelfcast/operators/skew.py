@@ -43,7 +43,8 @@ def find_hot_keys(
     for keys in sets:
         level = sum(1 << (len(names) - 1 - i) for i, name in enumerate(names) if name not in keys)
         picked = [
-            (*[r[k] for k in keys], min(partitions, -(-r["n"] * partitions // total)))
+            # A piece is a quarter of an average partition, so that pieces meeting by chance stay small.
+            (*[r[k] for k in keys], -(-4 * r["n"] * partitions // total))
             for r in found
             if r["level"] == level
         ]
