@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +35,10 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only in local mode and only when the setting is missing.
+    Where that is unset, a folder in the warehouse, which a session's executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="shelfcast-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shelfcast-work")
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
