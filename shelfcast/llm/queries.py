@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.llm.common import table
 from shelfcast.llm.decontaminate import judged
+from shelfcast.llm.mixing import mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,34 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         F.col(names["contaminated"]).alias("contaminated"),
     )
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15)
+                       AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             row_number() OVER (ORDER BY source IS NULL, source) AS position FROM d GROUP BY source),
+w AS (SELECT *, (position - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+f AS (SELECT *, row_number() OVER o AS fill, cap / weight AS ratio,
+             coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+             sum(source_size) OVER () AS total
+      FROM w WINDOW o AS (ORDER BY cap / weight, position)),
+l AS (SELECT min_by((total - capped) / open, fill) AS level FROM f
+      WHERE (total - capped) / open * weight <= cap),
+t AS (SELECT source, source_size, least(CAST(weight * level AS DOUBLE), CAST(cap AS DOUBLE)) AS target FROM f, l),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS quota,
+             CAST(coalesce(sum(size) OVER (PARTITION BY d.source
+                  ORDER BY key, CAST(doc_id AS VARCHAR) NULLS FIRST, size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size
+            + greatest(least(start + size, quota % source_size) - start, 0) END AS BIGINT) AS taken
+FROM p"""
+
+
+@query(OP5_SQL)
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))[0]
