@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.llm.common import table
+from shelfcast.llm.common import bucket_of, table
 from shelfcast.llm.decontaminate import judged
 from shelfcast.llm.mixing import mix
+from shelfcast.llm.quality_gam import fit_quality, score_quality
+from shelfcast.llm.quality_rules import fit_rules, judge
+from shelfcast.llm.textstats import COUNTS
+from shelfcast.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +97,37 @@ FROM p"""
 @query(OP5_SQL)
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0]
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    out, names = judge(docs, rules)
+    return out.select("doc_id", *[F.col(names[n]).alias(n) for n in (*COUNTS, "base_failed", "kept", "rule")])
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), train=bucket_of("doc_id", 5) != 0)
+    out, score = score_quality(docs, model)
+    return out.select(
+        "doc_id",
+        (bucket_of("doc_id", 5) == 0).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), train=bucket_of("doc_id", 4) != 2)
+    out, score = score_toxicity(docs, model)
+    return out.select(
+        "doc_id",
+        (bucket_of("doc_id", 4) == 2).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.3).cast("int").alias("predicted"),
+    )
