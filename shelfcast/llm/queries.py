@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfcast.llm.common import bucket_of, table
 from shelfcast.llm.decontaminate import judged
 from shelfcast.llm.mixing import mix
+from shelfcast.llm.neardup import near_duplicates
 from shelfcast.llm.quality_gam import fit_quality, score_quality
 from shelfcast.llm.quality_rules import fit_rules, judge
 from shelfcast.llm.textstats import COUNTS
@@ -131,3 +132,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(score).alias("score"),
         (F.col(score) >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=4).withColumnRenamed("id", "doc_id")
