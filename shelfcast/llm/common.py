@@ -60,28 +60,42 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         start = stop
 
 
-def map_text(
-    docs: DataFrame, make: Callable[[], Kernel], fields: Sequence[StructField], text: str = "text", keep: Sequence[str] = ()
+def map_rows(
+    df: DataFrame, make: Callable[[], Callable], fields: Sequence[StructField], sized: str, keep: Sequence[str]
 ) -> DataFrame:
-    """One pass over the texts that adds ``fields`` to the columns ``keep``.
+    """The columns ``keep`` plus ``fields``; the kernel gets slices of the batches and the values of ``sized``.
 
-    ``make`` runs once per task and returns the kernel, so that look-up tables are built once. The text column is
-    read under a private name, so it may be kept or not.
+    ``make`` runs once per task and returns the kernel, so that look-up tables are built once. ``sized`` is a string
+    or binary column by whose bytes the slices are cut.
     """
-    private = unused("_text", [*keep, *[f.name for f in fields]])
-    kept = docs.select(*[docs[c] for c in keep])
-    schema = StructType([*kept.schema.fields, *fields])
+    schema = StructType([*df.select(*keep).schema.fields, *fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part, texts in chunks(batch, private):
-                arrays = [part.column(i) for i in range(len(names) - len(fields))]
-                yield pa.RecordBatch.from_arrays([*arrays, *kernel(texts)], names=names)
+            for part, values in chunks(batch, sized):
+                arrays = [part.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*arrays, *kernel(values, part)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def map_text(
+    docs: DataFrame, make: Callable[[], Kernel], fields: Sequence[StructField], text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """One pass over the texts that adds ``fields`` to the columns ``keep``.
 
+    The text column is read under a private name, so it may be kept or not.
+    """
+    private = unused("_text", [*keep, *[f.name for f in fields]])
     source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(private))
-    return source.mapInArrow(run, schema)
+
+    def only_texts():
+        kernel = make()
+        return lambda texts, _: kernel(texts)
+
+    return map_rows(source, only_texts, fields, private, keep)
 
 
 def bucket_of(column: str, modulus: int):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.llm.common import bucket_of, table
 from shelfcast.llm.decontaminate import judged
+from shelfcast.llm.linededup import dedup_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.neardup import near_duplicates
 from shelfcast.llm.quality_gam import fit_quality, score_quality
@@ -138,3 +139,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=4).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines dropped, and the digest of the remaining text."""
+    out, names = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col(names["n_lines"]).alias("n_lines"),
+        F.col(names["n_dropped"]).alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
