@@ -44,3 +44,35 @@ def near_components(rows, width: int, percent: int = 80) -> dict:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}
+
+
+def edits(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance over words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def dropped_lines(rows, min_words: int = 8) -> dict:
+    """Dropped line numbers per id; the rows' ids are distinct."""
+    lines = [
+        (doc is None, doc, n, words(line))
+        for doc, text in rows
+        for n, line in enumerate((text or "").split("\n"))
+        if len(words(line)) >= min_words
+    ]
+    lines.sort(key=lambda x: (x[0], x[1] if x[1] is not None else 0, x[2]))
+    out: dict = {doc: set() for doc, _ in rows}
+    for i, (_, doc, n, own) in enumerate(lines):
+        if any(abs(len(own) - len(o)) < 2 and edits(own, o) <= 1 for _, _, _, o in lines[:i]):
+            out[doc].add(n)
+    return out
+
+
+def without_lines(text, dropped):
+    if text is None:
+        return None
+    return "\n".join(line for n, line in enumerate(text.split("\n")) if n not in dropped)
