@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from shelfcast.session import fresh_folder
 
@@ -98,6 +99,37 @@ def map_text(
     return map_rows(source, only_texts, fields, private, keep)
 
 
+def identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``_id``, ``_body``, ``_r1``, ``_r2`` (96 bits that identify id and text) and ``_held``, all other columns.
+
+    Columns that an operator passes through stay in one struct, so that their names can't clash with its own.
+    """
+    body = F.col(text).cast("string")
+    return docs.select(
+        F.col(doc_id).alias("_id"),
+        body.alias("_body"),
+        F.xxhash64(F.col(doc_id), body).alias("_r1"),
+        F.hash(body, F.lit(7), F.col(doc_id)).alias("_r2"),
+        F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_held"),
+    )
+
+
+def packed(docs: DataFrame, text: str, doc_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Identity, the columns ``keep`` of ``identified``, and ``_z``: the text, compressed for a shuffle (null if null)."""
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def kernel(texts, part):
+            null = part.column("_body").is_null().to_pylist()
+            return [pa.array([None if n else pack(raw) for raw, n in zip(texts, null)], pa.binary())]
+
+        return kernel
+
+    keys = ["_r1", "_r2", *keep]
+    return map_rows(identified(docs, text, doc_id).select(*keys, "_body"), make, [StructField("_z", BinaryType())], "_body", keys)
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of the value as text, modulo; a null value counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -26,9 +26,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from shelfcast.llm.common import map_rows, map_text, materialize, unused
+from shelfcast.llm.common import identified, map_rows, map_text, materialize, packed, unused
 
 MIN_WORDS = 8
 
@@ -89,36 +89,9 @@ def within_one(a: list[int], b: list[int]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def packed_documents(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``_r1, _r2`` (identity of id and text) and ``_z`` (compressed text, null if null)."""
-    keyed = with_identity(docs, text, doc_id)
-
-    def make():
-        pack = zstandard.ZstdCompressor(level=1).compress
-
-        def kernel(texts, part):
-            null = part.column("_body").is_null().to_pylist()
-            return [pa.array([None if n else pack(raw) for raw, n in zip(texts, null)], pa.binary())]
-
-        return kernel
-
-    return map_rows(keyed, make, [StructField("_z", BinaryType())], "_body", [*keep, "_r1", "_r2"])
-
-
-def with_identity(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    body = F.col(text).cast("string")
-    return docs.withColumns(
-        {
-            "_r1": F.xxhash64(F.col(doc_id), body),
-            "_r2": F.xxhash64(body, F.lit(1), F.col(doc_id)),
-            "_body": body,
-        }
-    )
-
-
 def line_table(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
     """``(doc, r1, r2, line_no, line, check, anchors)`` for every line that takes part."""
-    keyed = with_identity(docs, text, doc_id).select(F.col(doc_id).alias("doc"), "_r1", "_r2", "_body")
+    keyed = identified(docs, text, doc_id).select(F.col("_id").alias("doc"), "_r1", "_r2", "_body")
 
     def make():
         def kernel(texts):
@@ -162,7 +135,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
     asked = numbered.groupBy(F.col("first.r1").alias("_r1"), F.col("first.r2").alias("_r2")).agg(
         F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "no")).alias("asked")
     )
-    found = packed_documents(docs, text, doc_id, []).dropna(subset=["_z"]).join(materialize(asked, "asked"), ["_r1", "_r2"])
+    found = packed(docs, text, doc_id).dropna(subset=["_z"]).join(materialize(asked, "asked"), ["_r1", "_r2"])
     row = StructType([StructField("no", LongType()), StructField("ids", ArrayType(LongType()))])
 
     def make():
@@ -254,10 +227,9 @@ def dedup_lines(
 
     ``emptied`` marks a document that had a word before and has none left. Also returns the names of the new columns.
     """
-    others = [c for c in docs.columns if c != text]
     names = {n: unused(n, docs.columns) for n in ("n_lines", "n_dropped", "emptied")}
     drops = materialize(dropped_lines(docs, text, doc_id, min_words), "drops")
-    joined = packed_documents(docs, text, doc_id, others).join(drops, ["_r1", "_r2"], "left")
+    joined = packed(docs, text, doc_id, ["_held"]).join(drops, ["_r1", "_r2"], "left")
     # A null text has no bytes to slice by.
     joined = joined.withColumn("_null", F.col("_z").isNull())
 
@@ -280,10 +252,11 @@ def dedup_lines(
         return kernel
 
     fields = [
-        StructField(text, StringType()),
+        StructField("_new", StringType()),
         StructField(names["n_lines"], LongType()),
         StructField(names["n_dropped"], LongType()),
         StructField(names["emptied"], BooleanType()),
     ]
-    out = map_rows(joined, make, fields, "_z", others)
-    return out.select(*docs.columns, *names.values()), names
+    out = map_rows(joined, make, fields, "_z", ["_held"])
+    own = [F.col("_new" if c == text else f"_held.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, *names.values()), names

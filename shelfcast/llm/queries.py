@@ -13,6 +13,7 @@ from shelfcast.llm.mixing import mix
 from shelfcast.llm.neardup import near_duplicates
 from shelfcast.llm.quality_gam import fit_quality, score_quality
 from shelfcast.llm.quality_rules import fit_rules, judge
+from shelfcast.llm.substrings import remove_repeats
 from shelfcast.llm.textstats import COUNTS
 from shelfcast.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -151,3 +152,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(names["n_dropped"]).alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col(names["removed"])
+    return out.select(
+        "doc_id",
+        F.col(names["n_bytes"]).alias("n_bytes"),
+        (F.col(names["n_bytes"]) - F.length(names["kept"])).cast("long").alias("n_removed"),
+        F.size(removed).cast("long").alias("n_spans"),
+        F.sha2(F.col(names["kept"]), 256).alias("kept_sha256"),
+    )
