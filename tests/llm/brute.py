@@ -76,3 +76,22 @@ def without_lines(text, dropped):
     if text is None:
         return None
     return "\n".join(line for n, line in enumerate(text.split("\n")) if n not in dropped)
+
+
+def kept_bytes(rows, length: int) -> list[tuple[int, list[list[int]], bytes]]:
+    """Per row: bytes, maximal removed spans, and what stays."""
+    raws = [(t or "").encode() for _, t in rows]
+    count: dict = {}
+    for raw in raws:
+        for i in range(len(raw) - length + 1):
+            h = hash(raw[i : i + length])
+            count[h] = count.get(h, 0) + 1
+    out = []
+    for raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if count[hash(raw[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = [[m.start(), m.end()] for m in re.finditer(b"\1+", bytes(gone))]
+        out.append((len(raw), spans, bytes(c for c, g in zip(raw, gone) if not g)))
+    return out
