@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.llm.common import bucket_of, table
+from shelfcast.llm.chat import format_chats, read_back
+from shelfcast.llm.common import bucket_of, materialize, table
 from shelfcast.llm.decontaminate import judged
 from shelfcast.llm.linededup import dedup_lines
 from shelfcast.llm.mixing import mix
@@ -165,3 +166,36 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(removed).cast("long").alias("n_spans"),
         F.sha2(F.col(names["kept"]), 256).alias("kept_sha256"),
     )
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g') AS r,
+             regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g') AS t FROM c),
+o AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+             sum(length('<s>[INST]  [/INST]</s>') + length(r) + length(t)) AS n FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+       sha256(learned) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars
+FROM o"""
+
+
+@query(OP2_SQL)
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], chats.schema)
+    nodes, segs, members = format_chats(chats.unionByName(probe))
+    whole = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    digests = read_back(nodes, segs).select(
+        "leaf",
+        F.size("texts").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    found = members.join(materialize(digests, "chat-digests"), "leaf")
+    return found.drop("leaf").withColumnRenamed("conv", "conv_id")
