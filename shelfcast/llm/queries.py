@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfcast.llm.chat import format_chats, read_back
 from shelfcast.llm.common import bucket_of, materialize, table
 from shelfcast.llm.decontaminate import judged
+from shelfcast.llm.language_model import score_documents
 from shelfcast.llm.linededup import dedup_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.neardup import near_duplicates
@@ -199,3 +200,12 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = members.join(materialize(digests, "chat-digests"), "leaf")
     return found.drop("leaf").withColumnRenamed("conv", "conv_id")
+
+
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of("doc_id", 7) == 2
+    scored = score_documents(docs, ~held_out)
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", held_out.alias("held_out"), *columns)
