@@ -9,42 +9,47 @@ from shelfcast.catalog.fixtures import fx
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.operators import baskets as bk
 
-# The oracle joins baskets with themselves, so it stops at three items.
-MAX_LEN = 3
-SUPPORT = 0.05
-CONFIDENCE = 0.5
+MAX_LEN = 5
+SUPPORT = 0.01
+CONFIDENCE = 0.3
+
+
+def level_sql(k: int) -> str:
+    """Sets of ``k`` items in ascending order, by joining baskets with themselves."""
+    columns = ", ".join(f"p{i}.product_id AS i{i}" for i in range(k))
+    joins = "".join(
+        f" JOIN pairs p{i} ON p{i - 1}.client_id = p{i}.client_id AND p{i - 1}.product_id < p{i}.product_id" for i in range(1, k)
+    )
+    return f"s{k} AS (SELECT {columns}, count(*) AS freq FROM pairs p0{joins} GROUP BY ALL)"
+
+
+def names(k: int, without: int | None = None) -> str:
+    left = [f"i{i}" for i in range(k) if i != without]
+    return f"concat_ws(',', {', '.join(left)})"
+
 
 PAIRS_SQL = """, lines AS (SELECT * FROM basket_lines WHERE week > 8 AND week <= 9),
 pairs AS (SELECT DISTINCT client_id, product_id FROM lines),
 n AS (SELECT count(DISTINCT client_id) AS baskets FROM pairs)
 """
-ITEMSETS_SQL = PAIRS_SQL + f""",
-s1 AS (SELECT product_id AS a, count(*) AS freq FROM pairs GROUP BY 1),
-s2 AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS freq FROM pairs x
-       JOIN pairs y ON x.client_id = y.client_id AND x.product_id < y.product_id GROUP BY 1, 2),
-s3 AS (SELECT x.product_id AS a, y.product_id AS b, z.product_id AS c, count(*) AS freq FROM pairs x
-       JOIN pairs y ON x.client_id = y.client_id AND x.product_id < y.product_id
-       JOIN pairs z ON y.client_id = z.client_id AND y.product_id < z.product_id GROUP BY 1, 2, 3),
-sets AS (
-  SELECT CAST(a AS VARCHAR) AS items, freq FROM s1
-  UNION ALL SELECT concat_ws(',', a, b), freq FROM s2
-  UNION ALL SELECT concat_ws(',', a, b, c), freq FROM s3),
-itemsets AS (SELECT items, freq, freq / baskets AS support FROM sets, n WHERE freq >= {SUPPORT} * baskets)
-"""
+LEVELS = range(1, MAX_LEN + 1)
+ITEMSETS_SQL = (
+    PAIRS_SQL + ", " + ",\n".join(level_sql(k) for k in LEVELS) + ",\nsets AS ("
+    + " UNION ALL ".join(f"SELECT {names(k)} AS items, freq FROM s{k}" for k in LEVELS)
+    + f"),\nitemsets AS (SELECT items, freq, freq / baskets AS support FROM sets, n WHERE freq >= {SUPPORT} * baskets)\n"
+)
+SPLITS_SQL = " UNION ALL ".join(
+    f"SELECT {names(k, i)} AS antecedent, i{i} AS consequent, freq FROM s{k}" for k in LEVELS[1:] for i in range(k)
+)
 RULES_SQL = ITEMSETS_SQL + f""",
-splits AS (
-  SELECT CAST(a AS VARCHAR) AS antecedent, b AS consequent, freq FROM s2
-  UNION ALL SELECT CAST(b AS VARCHAR), a, freq FROM s2
-  UNION ALL SELECT concat_ws(',', a, b), c, freq FROM s3
-  UNION ALL SELECT concat_ws(',', a, c), b, freq FROM s3
-  UNION ALL SELECT concat_ws(',', b, c), a, freq FROM s3),
+splits AS ({SPLITS_SQL}),
 rules AS (
   SELECT antecedent, consequent, splits.freq, splits.freq / baskets AS support, splits.freq / l.freq AS confidence,
          splits.freq / l.freq / (r.freq / baskets) AS lift
-  FROM splits JOIN sets l ON antecedent = l.items JOIN s1 r ON consequent = r.a, n
+  FROM splits JOIN sets l ON antecedent = l.items JOIN s1 r ON consequent = r.i0, n
   WHERE splits.freq >= {SUPPORT} * baskets AND splits.freq / l.freq >= {CONFIDENCE}
-  UNION ALL SELECT '' AS antecedent, a, freq, freq / baskets, freq / baskets, 1.0::DOUBLE FROM s1, n
-  WHERE freq >= {CONFIDENCE} * baskets)
+  UNION ALL SELECT '' AS antecedent, i0, freq, freq / baskets, freq / baskets, 1.0::DOUBLE FROM s1, n
+  WHERE freq >= {CONFIDENCE} * baskets AND freq >= {SUPPORT} * baskets)
 """
 
 

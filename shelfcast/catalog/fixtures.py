@@ -44,8 +44,8 @@ def sales_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 10).alias("agency_id"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("channel_id"),
         F.col("l_suppkey").alias("route_id"),
-        (F.col("o_custkey") % 200).alias("client_id"),
-        (F.col("l_partkey") % 50).alias("product_id"),
+        F.col("o_custkey").alias("client_id"),
+        F.col("l_partkey").alias("product_id"),
         units.alias("units_sold"),
         F.col("l_extendedprice").alias("sales_amount"),
         return_units.alias("return_units"),
@@ -55,15 +55,20 @@ def sales_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known weeks, with products, clients and routes left cold so that every back-off step answers some rows."""
+    """All lines of the known weeks."""
+    return sales_all(spark, sf_dir).where(F.col("week") <= 9)
+
+
+def warm_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known weeks for the back-off queries: some products, clients and routes stay cold, so every step answers rows."""
     product, client = F.col("product_id"), F.col("client_id")
     cold = (
-        (product == 49)
-        | (client >= 190)
+        (product % 50 == 49)
+        | (client % 200 >= 190)
         | (F.col("route_id") % 100 == 99)
-        | ((product >= 40) & (F.col("agency_id") == 8))
+        | ((product % 50 >= 40) & (F.col("agency_id") == 8))
     )
-    return sales_all(spark, sf_dir).where((F.col("week") <= 9) & ~cold)
+    return sales(spark, sf_dir).where(~cold)
 
 
 def forecast_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +76,17 @@ def forecast_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the clients: one in twenty has none, and one in a hundred has two."""
     key = F.col("c_custkey")
-    named = star(spark, sf_dir, "customer").where((key < 190) | key.between(1000, 1004))
-    return named.select((key % 200).alias("client_id"), F.col("c_name").alias("client_name"))
+    named = star(spark, sf_dir, "customer").where(key % 200 < 190)
+    names = F.when(key % 100 == 7, F.array("c_name", F.concat("c_name", F.lit(" II")))).otherwise(F.array("c_name"))
+    return named.select(key.alias("client_id"), F.explode(names).alias("client_name"))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of the products: one in ten products is missing, and one in seven has no brand."""
     key = F.col("p_partkey")
-    return star(spark, sf_dir, "part").where(key < 45).select(
+    return star(spark, sf_dir, "part").where(key % 50 < 45).select(
         key.alias("product_id"),
         F.when(key % 7 != 0, F.col("p_brand")).alias("brand"),
         (F.substring("p_brand", 7, 10).cast("int") % 16).alias("cat_brand"),
@@ -92,9 +100,10 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_lines(spark, sf_dir).select(
-        F.col("o_custkey").alias("client_id"), (F.col("l_partkey") % 12).alias("product_id"), week_of("o_orderdate")
-    )
+    """What clients buy in a week, by brand number: single parts are too many to be bought together often."""
+    parts = star(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 10).cast("long").alias("product_id"))
+    lines = order_lines(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.col("o_custkey").alias("client_id"), "product_id", week_of("o_orderdate"))
 
 
 def applicants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +174,7 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), C
        CAST(3 + CAST(extract(week FROM o_orderdate) AS INT) % 9 AS INT) AS week,
        CAST(l_suppkey % 10 AS BIGINT) AS agency_id,
        CAST(substr(o_orderpriority, 1, 1) AS INT) AS channel_id,
-       l_suppkey AS route_id, o_custkey % 200 AS client_id, l_partkey % 50 AS product_id,
+       l_suppkey AS route_id, o_custkey AS client_id, l_partkey AS product_id,
        CAST(l_quantity AS INT) AS units_sold, l_extendedprice AS sales_amount,
        CASE WHEN l_returnflag = 'R' THEN CAST(floor(l_quantity * l_discount * 10) AS INT) ELSE 0 END AS return_units,
        CASE WHEN l_returnflag = 'R' THEN floor(l_quantity * l_discount * 10) * l_extendedprice / l_quantity
@@ -173,25 +182,22 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), C
        greatest(CAST(l_quantity AS INT) - CASE WHEN l_returnflag = 'R'
                 THEN CAST(floor(l_quantity * l_discount * 10) AS INT) ELSE 0 END, 0) AS demand
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
-    "sales": (("sales_all",), """
-SELECT * FROM sales_all
-WHERE week <= 9 AND NOT (product_id = 49 OR client_id >= 190 OR route_id % 100 = 99
-                         OR (product_id >= 40 AND agency_id = 8))"""),
+    "sales": (("sales_all",), "SELECT * FROM sales_all WHERE week <= 9"),
     "forecast_requests": (("sales_all",), """
 SELECT id, week, agency_id, channel_id, route_id, client_id, product_id FROM sales_all WHERE week >= 10"""),
     "clients": ((), """
-SELECT c_custkey % 200 AS client_id, c_name AS client_name FROM customer
-WHERE c_custkey < 190 OR c_custkey BETWEEN 1000 AND 1004"""),
+SELECT c_custkey AS client_id, c_name AS client_name FROM customer WHERE c_custkey % 200 < 190
+UNION ALL SELECT c_custkey, c_name || ' II' FROM customer WHERE c_custkey % 100 = 7"""),
     "brands": ((), """
 SELECT p_partkey AS product_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS brand,
        CAST(substr(p_brand, 7) AS INT) % 16 AS cat_brand
-FROM part WHERE p_partkey < 45"""),
+FROM part WHERE p_partkey % 50 < 45"""),
     "leaderboard": ((), """
 SELECT user_id AS team_id, value / 200 AS score, event_id AS submitted_seq FROM events"""),
     "basket_lines": ((), """
-SELECT o_custkey AS client_id, l_partkey % 12 AS product_id,
+SELECT o_custkey AS client_id, CAST(substr(p_brand, 7) AS BIGINT) AS product_id,
        CAST(3 + CAST(extract(week FROM o_orderdate) AS INT) % 9 AS INT) AS week
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""),
     "applicants_all": ((), """
 SELECT c_custkey AS idx, CAST(o.tf AS INT) AS target_flag, CAST(abs(c_acctbal) * 8 AS DOUBLE) AS loan,
        CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE o.av / 2 END AS DOUBLE) AS mortdue,
@@ -219,8 +225,17 @@ SELECT * REPLACE (CAST(NULL AS INT) AS target_flag) FROM applicants_all WHERE id
 }
 
 
-def fx(*names: str) -> str:
-    """``WITH`` clause that defines the named tables and what they need; append the query to it."""
+_WARM_SALES = """
+SELECT * FROM sales_all
+WHERE week <= 9 AND NOT (product_id % 50 = 49 OR client_id % 200 >= 190 OR route_id % 100 = 99
+                         OR (product_id % 50 >= 40 AND agency_id = 8))"""
+
+
+def fx(*names: str, warm: bool = False) -> str:
+    """``WITH`` clause that defines the named tables and what they need; append the query to it.
+
+    ``warm`` leaves the cold rows out of ``sales``, as ``warm_sales`` does.
+    """
     needed: list[str] = []
 
     def need(name: str) -> None:
@@ -231,4 +246,9 @@ def fx(*names: str) -> str:
 
     for name in names:
         need(name)
-    return "WITH " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in needed) + "\n"
+    text = {n: _WARM_SALES if warm and n == "sales" else _SQL[n][1] for n in needed}
+    return "WITH " + ",\n".join(f"{n} AS ({text[n]})" for n in needed) + "\n"
+
+
+def warm_fx(*names: str) -> str:
+    return fx(*names, warm=True)

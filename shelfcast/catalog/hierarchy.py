@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures as fx_tables
-from shelfcast.catalog.fixtures import fx
+from shelfcast.catalog.fixtures import warm_fx as fx
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.functions.scalars import midpoint
 from shelfcast.operators import ensemble as en, evaluate, hierarchy as hi
@@ -25,7 +25,7 @@ def attach_sql(names, source: str, keys=TIER_KEYS) -> str:
 
 
 def tables(spark, sf_dir):
-    return fx_tables.forecast_requests(spark, sf_dir), fx_tables.sales(spark, sf_dir)
+    return fx_tables.forecast_requests(spark, sf_dir), fx_tables.warm_sales(spark, sf_dir)
 
 
 for _tier in hi.TIERS:
@@ -35,7 +35,7 @@ for _tier in hi.TIERS:
         fx("sales") + f"SELECT {', '.join(_tier.keys)}, round({G}, 6) AS {_tier.name} FROM sales GROUP BY ALL",
     )
     def one_tier(spark, sf_dir, tier=_tier):
-        return rounded(hi.fit_tiers(fx_tables.sales(spark, sf_dir), [tier])[tier.name])
+        return rounded(hi.fit_tiers(fx_tables.warm_sales(spark, sf_dir), [tier])[tier.name])
 
 
 @query(
@@ -45,7 +45,7 @@ UNION ALL SELECT 'mean', round(avg(demand), 6) FROM sales
 UNION ALL SELECT 'median', round(CAST(median(demand) AS DOUBLE), 6) FROM sales""",
 )
 def tier_global(spark, sf_dir):
-    known = fx_tables.sales(spark, sf_dir)
+    known = fx_tables.warm_sales(spark, sf_dir)
     levels = {
         "mean_less": hi.Fallback("mean", -0.9),
         "mean": hi.Fallback("mean"),
@@ -132,7 +132,7 @@ for _name, _hierarchy, _tiers, _sql in (
 FROM sales WHERE return_units > 0 GROUP BY ALL""",
 )
 def pair_returns(spark, sf_dir):
-    return rounded(hi.pair_returns(fx_tables.sales(spark, sf_dir)))
+    return rounded(hi.pair_returns(fx_tables.warm_sales(spark, sf_dir)))
 
 
 @query(
@@ -143,7 +143,7 @@ SELECT product_id, agency_id, client_id, round(om, 6) AS om, round(apm, 6) AS ap
        (SELECT CAST(median(demand) AS DOUBLE) FROM sales) AS overall FROM pac JOIN pa USING (product_id, agency_id)""",
 )
 def means_early(spark, sf_dir):
-    known = fx_tables.sales(spark, sf_dir)
+    known = fx_tables.warm_sales(spark, sf_dir)
     om = hi.scaled_means(known, ("product_id", "agency_id"), "om", scale=0.57928)
     apm = hi.scaled_means(known, ("product_id", "agency_id", "client_id"), "apm", offset=-0.91)
     overall = hi.global_level(known, hi.Fallback("median"))
@@ -183,7 +183,7 @@ predicted AS (
 
 @query("q_hier_holdout", HOLDOUT_SQL + "SELECT id, demand, round(predicted, 6) AS predicted FROM predicted")
 def hier_holdout(spark, sf_dir):
-    return rounded(demand.holdout_hierarchies(fx_tables.sales(spark, sf_dir)))
+    return rounded(demand.holdout_hierarchies(fx_tables.warm_sales(spark, sf_dir)))
 
 
 SCORE_SQL = """round(sqrt(avg(pow(ln(demand + 1) - ln({p} + 1), 2))), 6) AS rmsle,
@@ -192,7 +192,7 @@ SCORE_SQL = """round(sqrt(avg(pow(ln(demand + 1) - ln({p} + 1), 2))), 6) AS rmsl
 
 @query("q_rmsle_hier", HOLDOUT_SQL + f"SELECT {SCORE_SQL.format(p='predicted')} FROM predicted")
 def rmsle_hier(spark, sf_dir):
-    scored = demand.holdout_hierarchies(fx_tables.sales(spark, sf_dir))
+    scored = demand.holdout_hierarchies(fx_tables.warm_sales(spark, sf_dir))
     return rounded(demand.evaluate_holdout(scored, "predicted"), predicted_total=2)
 
 
@@ -208,7 +208,7 @@ SELECT 'hp1' AS model, {SCORE_SQL.format(p='hp1')} FROM predicted
 UNION ALL SELECT 'hp2', {SCORE_SQL.format(p='hp2')} FROM predicted""",
 )
 def holdout_scores(spark, sf_dir):
-    known = fx_tables.sales(spark, sf_dir)
+    known = fx_tables.warm_sales(spark, sf_dir)
     scored = demand.holdout_hierarchies(known, hierarchies={"hp1": hi.HIER1, "hp2": hi.HIER2})
     return rounded(demand.holdout_scores(scored, ["hp1", "hp2"]), predicted_total=2)
 
@@ -221,7 +221,7 @@ SELECT round(sqrt((sum(pow(ln(a1 + 1) - ln(p1 + 1), 2)) + sum(pow(ln(a2 + 1) - l
        AS rmsle, count(a1) + count(a2) AS values FROM t""",
 )
 def rmsle_multi(spark, sf_dir):
-    pairs = fx_tables.sales(spark, sf_dir).select(
+    pairs = fx_tables.warm_sales(spark, sf_dir).select(
         F.when(F.col("demand") <= 40, F.col("demand")).alias("a1"),
         F.col("units_sold").alias("p1"),
         F.col("return_units").alias("a2"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.session import cut_lineage
+from shelfcast.session import materialize
 
 
 def basket_pairs(sales: DataFrame, after: int = 8, last: int = 9) -> DataFrame:
@@ -37,27 +36,37 @@ def item_support(pairs: DataFrame, k: int | None = None) -> DataFrame:
     return support.orderBy(F.desc("freq"), "product_id").limit(k) if k else support
 
 
-def frequent_itemsets(pairs: DataFrame, min_support: float, max_len: int = 5, partitions: int | None = None) -> DataFrame:
+def frequent_itemsets(pairs: DataFrame, min_support: float, max_len: int = 5) -> DataFrame:
     """Itemsets held by at least ``min_support`` of the baskets, up to ``max_len`` items.
 
-    No set with a rare item can be frequent, so rare items leave the baskets before mining; a basket
-    left empty still counts. Spark's FP-growth spreads the work over groups of items. The pairs are
-    written once, because support, baskets and mining all read them, and so is the result, because
-    the rules read it several times.
+    Level by level: a candidate of k items joins two frequent sets of k - 1 that differ in the last item, and is
+    counted only in baskets that hold the first of them; nothing longer than ``max_len`` is ever made. Baskets are
+    rows (client, set), so a basket or an item of any size is spread like every other row.
     """
-    pairs = cut_lineage(pairs)
-    common = item_support(pairs).where(F.col("support") >= min_support).select("product_id", F.lit(True).alias("common"))
-    # At most (mean basket size / min_support) items are frequent, whatever the number of baskets.
-    marked = pairs.join(F.broadcast(common), "product_id", "left")
-    item = F.when(F.col("common"), F.col("product_id"))
-    pruned = marked.groupBy("client_id").agg(F.collect_set(item).alias("items"))
-    n = basket_count(pairs)
-    spread = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=spread).fit(pruned)
-    found = model.freqItemsets.where(F.size("items") <= max_len)
-    return cut_lineage(
-        found.select(F.array_sort("items").alias("items"), "freq", (F.col("freq") / n.scalar()).alias("support"))
-    )
+    pairs = materialize(pairs, "basket-pairs")
+    least = min_support * pairs.select("client_id").distinct().count()
+    baskets_in_all = basket_count(pairs)
+
+    def level(rows: DataFrame) -> DataFrame:
+        return materialize(rows.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), "itemsets")
+
+    held = pairs.where(F.col("product_id").isNotNull()).select("client_id", F.array("product_id").alias("items"))
+    frequent = level(held)
+    found = frequent
+    held = materialize(held.join(frequent, "items", "left_semi"), "held")
+    single = held.select("client_id", F.col("items")[0].alias("item"))
+    for _ in range(1, max_len):
+        if frequent.limit(1).count() == 0:
+            break
+        known = frequent.select(F.col("items").alias("other"))
+        grown = held.join(single, "client_id").where(F.col("item") > F.element_at("items", -1))
+        other = F.concat(F.slice("items", 1, F.size("items") - 1), F.array("item"))
+        grown = grown.join(known, other == F.col("other"), "left_semi")
+        grown = grown.select("client_id", F.concat("items", F.array("item")).alias("items"))
+        frequent = level(grown)
+        held = materialize(grown.join(frequent, "items", "left_semi"), "held")
+        found = found.unionByName(frequent)
+    return found.select("items", "freq", (F.col("freq") / baskets_in_all.scalar()).alias("support"))
 
 
 def rules(itemsets: DataFrame, min_confidence: float = 0.5, include_empty: bool = True) -> DataFrame:

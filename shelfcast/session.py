@@ -46,13 +46,19 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and continue from the files.
+
+    This cuts the lineage, survives lost executors, and later reads still prune columns.
+    """
+    path = fresh_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once and continue from the written copy."""
+    return materialize(df)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
