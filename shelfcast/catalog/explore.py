@@ -8,7 +8,6 @@ from shelfcast.catalog import fixtures as fx_tables
 from shelfcast.catalog.fixtures import fx
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.operators import explore
-from shelfcast.operators.features import pair_stats
 
 CLIENT_SALES_SQL = """, totals AS (
   SELECT client_id, CAST(sum(units_sold) AS BIGINT) AS units, sum(sales_amount) AS amount,
@@ -90,8 +89,7 @@ SELECT bin_start, rows, {LABEL_SQL} AS label FROM bins""",
 SELECT round((SELECT count(*) FROM pairs WHERE n >= 2) / (SELECT count(*) FROM sales) * 100, 6) AS repeat_pct""",
 )
 def repeat_pair_pct(spark, sf_dir):
-    known = fx_tables.sales(spark, sf_dir)
-    return rounded(explore.repeat_pair_pct(known, pair_stats(known)))
+    return rounded(explore.repeat_pair_pct(fx_tables.sales(spark, sf_dir)))
 
 
 FIRST_SQL = """, firsts AS (SELECT * FROM leaderboard

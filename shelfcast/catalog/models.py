@@ -19,7 +19,6 @@ from shelfcast.session import cut_lineage
 
 # One tree on one input with few values: every leaf is a group, so the fit is the group mean.
 ONE_TREE = md.BoostParams(max_depth=8, eta=1.0, gamma=0.0, subsample=1.0, colsample=1.0, min_child=1, rounds=1)
-SMALL = md.BoostParams(max_depth=5, rounds=5)
 
 
 def agency_rows(spark, sf_dir):
@@ -115,7 +114,6 @@ def full_forecast(spark, sf_dir):
         fx_tables.sales(spark, sf_dir),
         fx_tables.forecast_requests(spark, sf_dir),
         fx_tables.brands(spark, sf_dir),
-        SMALL,
     )
 
 
@@ -140,7 +138,7 @@ def gbt_contract(spark, sf_dir):
     )
 
 
-@query("q_importance_contract", "SELECT 18::BIGINT AS inputs, 1.0::DOUBLE AS total, 18::BIGINT AS names")
+@query("q_importance_contract")
 def importance_contract(spark, sf_dir):
     table = md.importance(spark, full_forecast(spark, sf_dir).model, md.LATEST_INPUTS)
     return rounded(
@@ -158,7 +156,7 @@ def importance_contract(spark, sf_dir):
 def holdout_boosted(spark, sf_dir):
     """Every hold-out row is scored once, by a model that has not seen its week."""
     known = fx_tables.sales(spark, sf_dir)
-    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), SMALL)
+    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir))
     return scored.agg(
         F.count("*").alias("rows"),
         F.sum("demand").alias("actual_total"),

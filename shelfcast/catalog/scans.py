@@ -138,15 +138,15 @@ UNION ALL SELECT 'to_100', count(*) FROM sales WHERE demand > 1 AND demand < 100
 UNION ALL SELECT 'to_15', count(*) FROM sales WHERE demand > 1 AND demand < 15""",
 )
 def demand_filter(spark, sf_dir):
-    known = fx_tables.sales(spark, sf_dir)
+    """All ranges counted in one pass."""
     bounds = {
-        "latest": filters.demand_between(known),
-        "to_1000": filters.demand_between(known, 0, 1000, high_open=True),
-        "to_100": filters.demand_between(known, 1, 100, high_open=True),
-        "to_15": filters.demand_between(known, 1, 15, high_open=True),
+        "latest": filters.in_demand_range(),
+        "to_1000": filters.in_demand_range(0, 1000, high_open=True),
+        "to_100": filters.in_demand_range(1, 100, high_open=True),
+        "to_15": filters.in_demand_range(1, 15, high_open=True),
     }
-    parts = [filters.row_count(df).select(F.lit(n).alias("bounds"), "rows") for n, df in bounds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    counts = fx_tables.sales(spark, sf_dir).agg(*[F.count_if(inside).alias(n) for n, inside in bounds.items()])
+    return counts.unpivot([], list(bounds), "bounds", "rows")
 
 
 @query("q_holdout_week", fx("sales") + "SELECT * FROM sales WHERE week = 9")

@@ -33,6 +33,12 @@ LOGIT_TERMS = (
 )
 
 
+# Levels of a category that may become columns of a design matrix.
+MAX_LEVELS = 1000
+# Columns that are filled before the rows are written again.
+WRITE_AFTER = 4
+
+
 def is_number(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, NumericType)
 
@@ -68,10 +74,10 @@ def impute_by_tree(
 
     Columns are filled in order and later trees see earlier fills. The same tree fills the test rows.
     A predictor still missing at its turn is replaced by its training mean for that tree only; the
-    filled column is not among its own predictors. The training rows are written once; after that
-    every fill is a projection, so no rows move.
+    filled column is not among its own predictors. Both tables are written at the start and again after every few
+    columns, so no fit replays more than a few trees; between, every fill is a projection and no rows move.
     """
-    train = cut_lineage(train)
+    train, test = cut_lineage(train), cut_lineage(test)
     columns = list(columns) if columns is not None else missing_columns(train, predictors)
     if flags:
         train, test = missing_flags(train, columns), missing_flags(test, columns)
@@ -79,6 +85,7 @@ def impute_by_tree(
     categories = [c for c in predictors if c not in numbers]
     stages = []
     if categories:
+        check_levels(train, categories, max_bins - 1)
         stages.append(
             StringIndexer(
                 inputCols=categories, outputCols=[f"{c}__in" for c in categories], handleInvalid="keep",
@@ -91,7 +98,7 @@ def impute_by_tree(
     prepare = Pipeline(stages=stages).fit(train)
     made = [f"{c}__in" for c in predictors]
 
-    for column in columns:
+    for done, column in enumerate(columns, start=1):
         inputs = [f"{c}__in" for c in predictors if c != column]
         assembler = VectorAssembler(inputCols=inputs, outputCol="features")
 
@@ -106,6 +113,8 @@ def impute_by_tree(
             return filled.drop("__fill", "features", *made)
 
         train, test = fill(train), fill(test)
+        if done % WRITE_AFTER == 0 or done == len(columns):
+            train, test = cut_lineage(train), cut_lineage(test)
     return train, test
 
 
@@ -143,11 +152,20 @@ def prepare_applicants(
     return interactions(train), interactions(test)
 
 
+def check_levels(df: DataFrame, categories: Sequence[str], most: int) -> None:
+    """Fail where a category has more than ``most`` levels, before they go anywhere."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in categories]).first()
+    for c in categories:
+        if counts[c] > most:
+            raise ValueError(f"{c} has {counts[c]} levels; the limit is {most}")
+
+
 def category_levels(train: DataFrame, terms: Sequence[str]) -> dict[str, list[str]]:
-    """Levels of the categorical terms in alphabetical order."""
+    """Levels of the categorical terms in alphabetical order; they become columns, so there are few."""
     categories = [t for t in terms if not is_number(train, t)]
     if not categories:
         return {}
+    check_levels(train, categories, MAX_LEVELS)
     made = [f"{c}__code" for c in categories]
     indexer = StringIndexer(inputCols=categories, outputCols=made, stringOrderType="alphabetAsc").fit(train)
     return dict(zip(categories, map(list, indexer.labelsArray)))
@@ -208,8 +226,15 @@ def fit_logit(
     max_iter: int = 50,
     tol: float = 1e-8,
     levels: Mapping[str, Sequence[str]] | None = None,
+    written: bool = False,
 ) -> Logit:
-    """Logistic regression by iteratively reweighted least squares."""
+    """Logistic regression by iteratively reweighted least squares.
+
+    Every iteration reads the rows again, so the columns of the model are written once, unless the caller says that
+    ``train`` is ``written``.
+    """
+    if not written:
+        train = cut_lineage(train.select(*terms, label))
     matrix = design(terms, category_levels(train, terms) if levels is None else levels)
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="features", labelCol=label, maxIter=max_iter, tol=tol
@@ -237,17 +262,18 @@ def stepwise_aic(
     """Drop or re-add one term at a time while that lowers the AIC, from the full model on.
 
     A category enters or leaves whole. Each candidate is one distributed fit; only AIC values reach
-    the driver. ``train`` is read for every fit, so pass a written or persisted table.
+    the driver. The columns of all terms are written once, for every fit to read.
     """
+    train = cut_lineage(train.select(*terms, label))
     levels = category_levels(train, terms)
-    current = fit_logit(train, terms, label, levels=levels)
+    current = fit_logit(train, terms, label, levels=levels, written=True)
     moves = [Move(0, "start", "", current.aic)]
     while len(moves) <= max_steps:
         kept = current.terms
         options = [("drop", t, tuple(k for k in kept if k != t)) for t in kept if len(kept) > 1]
         options += [("add", t, (*kept, t)) for t in terms if t not in kept]
         fits = in_parallel(
-            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels) for o in options], workers
+            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels, written=True) for o in options], workers
         )
         (action, term, _), best = min(zip(options, fits), key=lambda pair: pair[1].aic)
         if best.aic >= current.aic - 1e-7:

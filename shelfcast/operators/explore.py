@@ -66,12 +66,10 @@ def labelled_histogram(df: DataFrame, column: str, width: float = 1) -> DataFram
     return histogram(df, column, width).withColumn("label", label_thousands(F.col("rows")))
 
 
-def repeat_pair_pct(sales: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs sold more than once, as a percentage of sales rows (not of pairs)."""
-    repeated = pairs.agg(F.sum("multi").alias("repeated"))
-    return sales.agg(F.count("*").alias("rows")).select(
-        (repeated.scalar() / F.col("rows") * 100).alias("repeat_pct")
-    )
+def repeat_pair_pct(sales: DataFrame) -> DataFrame:
+    """Pairs sold more than once, as a percentage of sales rows (not of pairs), from one pass."""
+    pairs = sales.groupBy("product_id", "client_id").agg(F.count("*").alias("rows"))
+    return pairs.select((F.count_if(F.col("rows") > 1) / F.sum("rows") * 100).alias("repeat_pct"))
 
 
 def first_per_key(df: DataFrame, key: str, order: str, keep: Sequence[str]) -> DataFrame:

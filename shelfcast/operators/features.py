@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfcast.functions.scalars import log_target
-from shelfcast.operators.skew import find_hot_keys, lookup_join
+from shelfcast.operators.skew import lookup_join
 from shelfcast.schema import PAIR
 
 STATS = ("total", "mean", "median")
@@ -221,9 +221,8 @@ def model_table(
 
     ``last_known_week`` marks request rows. The pair's weekly map and its overall statistics share
     their keys, so they meet before the join and the rows shuffle once for both. ``hot`` holds the
-    rows' hot keys; they are looked for when it is not given.
+    rows' hot keys, which are split.
     """
-    hot = find_hot_keys(rows, FEATURE_KEYS) if hot is None else hot
     pair = weekly_lookup(features.pair_week, PAIR_WEEK).join(features.pair, list(PAIR))
     df = brand_feature(rows.withColumn("channel_id", F.lit(1.0)), features.brands)
     df = read_lags(attach_pair_features(df, pair, hot), PAIR_WEEK, last_known_week=last_known_week)

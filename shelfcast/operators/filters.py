@@ -4,22 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfcast.functions.scalars import capped, hash_bucket, hash_text
+from shelfcast.session import cut_lineage
 
-# 20 hash bits; the bucket table of an exact sample never has more rows than this.
-SAMPLE_BUCKETS = 1 << 20
+# Hexadecimal digits by which an exact sample narrows its cut-off, and rows it ranks at the end.
+DIGITS = 4
+FEW_ROWS = 1000
 
 
-def demand_between(
-    df: DataFrame, low: float = -1, high: float = 5000, low_open: bool = True, high_open: bool = False
-) -> DataFrame:
-    """Keep rows with demand in the range; both ends can be open or closed."""
+def in_demand_range(low: float = -1, high: float = 5000, low_open: bool = True, high_open: bool = False) -> Column:
+    """Whether demand is in the range; both ends can be open or closed."""
     demand = F.col("demand")
     above = demand > low if low_open else demand >= low
     below = demand < high if high_open else demand <= high
-    return df.where(above & below)
+    return above & below
+
+
+def demand_between(
+    df: DataFrame, low: float = -1, high: float = 5000, low_open: bool = True, high_open: bool = False
+) -> DataFrame:
+    """Keep rows with demand in the range."""
+    return df.where(in_demand_range(low, high, low_open, high_open))
 
 
 def holdout_week(df: DataFrame, week: int = 9) -> DataFrame:
@@ -43,33 +50,26 @@ def hash_sample(df: DataFrame, fraction: float, key: str = "id", salt: str = "")
 def exact_sample(df: DataFrame, fraction: float, key: str = "id", salt: str = "") -> DataFrame:
     """Exactly ``round(fraction * n)`` rows (half to even): those with the lowest key hashes.
 
-    ``key`` must be unique. A count per hash bucket finds the one bucket in which the quota runs out,
-    only that bucket (about one row in a million) is ranked, and the rows are then chosen by a filter
-    against the resulting cut-off. The driver sees two single rows; there is no full sort.
+    ``key`` must be unique. Hashes and keys are written once. Counts per leading hash digits find the bucket in which
+    the quota runs out, and counts per further digits the bucket inside it, until it has few rows; the driver gets at
+    most ``16 ** DIGITS`` counts at a time. The rows are then chosen by a filter against the cut-off; nothing is sorted.
     """
-    drawn = hash_text(F.col(key), salt)
-    bucket = F.conv(F.substring(drawn, 1, 5), 16, 10).cast("int")
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    # The bucket table has at most SAMPLE_BUCKETS rows, so one task may run through it in order.
-    everything = Window.partitionBy()
-    in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counts.select(
-        "bucket",
-        "n",
-        F.sum("n").over(in_order).alias("upto"),
-        F.bround(F.sum("n").over(everything) * F.lit(fraction), 0).cast("bigint").alias("quota"),
-    )
-    edge = reached.where("upto >= quota AND upto - n < quota").select("bucket", (F.expr("quota - upto + n")).alias("take")).first()
-    if edge is None:
+    drawn = cut_lineage(df.select(hash_text(F.col(key), salt).alias("drawn"), F.col(key).alias("key")))
+    quota, prefix, inside = round(fraction * drawn.count()), "", None
+    if quota <= 0:
         return df.limit(0)
-    place = F.struct(drawn.alias("drawn"), F.col(key).alias("key"))
-    ranked = (
-        df.where(bucket == edge["bucket"])
-        .select(place.alias("place"))
-        .withColumn("rank", F.row_number().over(Window.orderBy("place")))
-    )
-    last = ranked.where(F.col("rank") == edge["take"]).select("place.*").first()
-    return df.where((drawn < last["drawn"]) | ((drawn == last["drawn"]) & (F.col(key) <= last["key"])))
+    while inside is None or inside > FEW_ROWS and len(prefix) < 32:
+        own = drawn.where(F.col("drawn").startswith(prefix))
+        counts = own.groupBy(F.substring("drawn", 1, len(prefix) + DIGITS).alias("digits")).agg(F.count("*").alias("n"))
+        for digits, n in sorted(map(tuple, counts.collect())):
+            if quota <= n:
+                prefix, inside = digits, n
+                break
+            quota -= n
+    rows = drawn.where(F.col("drawn").startswith(prefix)).orderBy("drawn", "key").limit(quota)
+    last = rows.orderBy(F.desc("drawn"), F.desc("key")).first()
+    hashed = hash_text(F.col(key), salt)
+    return df.where((hashed < last["drawn"]) | ((hashed == last["drawn"]) & (F.col(key) <= last["key"])))
 
 
 def hash_split(df: DataFrame, fraction: float = 0.7, key: str = "idx", salt: str = "") -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfcast.functions.scalars import known, log_demand
 from shelfcast.operators.filters import fill_from
 from shelfcast.operators.features import DEFAULT_PRODUCT_MEAN
-from shelfcast.operators.skew import find_hot_keys, lookup_join
+from shelfcast.operators.skew import lookup_join
 
 
 @dataclass(frozen=True)
@@ -140,10 +140,9 @@ def attach_tiers(
     """Left join every tier table; keys are unique on the right, so no request row is repeated.
 
     No broadcast is forced: Spark broadcasts a tier whose measured size allows it and shuffles the
-    others. Hot keys of the requests are split; they are looked for when ``hot`` is not given.
+    others. The requests' hot keys, if given as ``hot``, are split.
     """
     keys = {name: tuple(c for c in table.columns if c != name) for name, table in tiers.items()}
-    hot = find_hot_keys(requests, keys.values()) if hot is None else hot
     for name, table in tiers.items():
         requests = lookup_join(requests, table, keys[name], hot)
     return requests

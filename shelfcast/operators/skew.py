@@ -8,6 +8,8 @@ found beforehand and split by a salt.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,7 +69,10 @@ def lookup_join(
     if pieces is None:
         return rows.join(table, keys, "left")
     deal = F.xxhash64("id" if "id" in rows.columns else F.struct(*rows.columns))
-    dealt = rows.join(F.broadcast(pieces), keys, "left").withColumn(
+    # Rows with a NULL key match nothing, but they may be hot as well: they are dealt out like the others.
+    marks = F.broadcast(pieces.select(*[F.col(k).alias(f"__{k}") for k in keys], "pieces"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    dealt = rows.join(marks, same, "left").drop(*[f"__{k}" for k in keys]).withColumn(
         "piece", F.coalesce(F.pmod(deal, F.col("pieces")).cast("int"), F.lit(0))
     )
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))

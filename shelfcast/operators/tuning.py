@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.operators.models import BoostParams, CvResult, cv_rounds, in_parallel
 
 
+# Spark ML limits trees to this depth.
+MAX_DEPTH = 30
+
+
 @dataclass(frozen=True)
 class SearchSpace:
     """Closed ranges the settings are drawn from."""
@@ -22,6 +26,10 @@ class SearchSpace:
     colsample: tuple[float, float] = (0.5, 0.8)
     min_child: tuple[int, int] = (1, 40)
 
+    def __post_init__(self) -> None:
+        if self.max_depth[1] > MAX_DEPTH:
+            raise ValueError(f"trees are limited to a depth of {MAX_DEPTH}")
+
     def draw(self, rng: random.Random, base: BoostParams) -> BoostParams:
         return replace(
             base,
@@ -37,9 +45,8 @@ class SearchSpace:
 
 # Ranges of earlier revisions.
 EARLIER_SPACE = SearchSpace(max_depth=(6, 10), eta=(0.01, 0.3))
-DEEP_SPACE = SearchSpace(max_depth=(10, 50), eta=(0.1, 0.9))
-# Spark ML limits trees to this depth.
-MAX_DEPTH = 30
+# Published with depths up to 50, which Spark ML's limit does not allow.
+DEEP_SPACE = SearchSpace(max_depth=(10, MAX_DEPTH), eta=(0.1, 0.9))
 
 
 @dataclass(frozen=True)
@@ -88,7 +95,6 @@ def random_search(
     """
     rng = random.Random(seed)
     drawn = [space.draw(rng, base) for _ in range(trials)]
-    drawn = [replace(p, max_depth=min(p.max_depth, MAX_DEPTH)) for p in drawn]
     results = in_parallel(
         train.sparkSession,
         [lambda p=p: cv_rounds(train, p, folds, patience, key, workers=folds) for p in drawn],

@@ -59,12 +59,3 @@ def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and continue from the written copy."""
     return materialize(df)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small written table a partition per core, for fits that are bound by computation.
-
-    A table that already has that many partitions, as any large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

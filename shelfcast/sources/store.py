@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def save_features(df: DataFrame, path: str, by_week: bool | None = None) -> str:
     """Write a feature table as Parquet; tables with a week are laid out by week by default.
 
-    The rows are not reshuffled for the layout: a week has far more rows than one task should hold.
+    Rows are dealt to tasks by week first, so a task writes few files; a week too large for one task is split.
     """
-    writer = df.write.mode("overwrite")
     if by_week if by_week is not None else "week" in df.columns:
-        writer = writer.partitionBy("week")
-    writer.parquet(path)
+        df.hint("rebalance", "week").write.mode("overwrite").partitionBy("week").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -56,5 +56,5 @@ def submission_long(df: DataFrame, models: Mapping[str, str], key: str = "id", n
 def write_submissions(df: DataFrame, path: str, models: Mapping[str, str], **kwargs) -> str:
     """All prediction files in one job: one folder per model below ``path``."""
     long = submission_long(df, models, **kwargs)
-    long.write.mode("overwrite").partitionBy("model").option("header", True).csv(path)
+    long.hint("rebalance", "model").write.mode("overwrite").partitionBy("model").option("header", True).csv(path)
     return path
