@@ -4,7 +4,7 @@ Non-negative positive-unlabelled learning: with the class prior ``pi`` and the l
 ``pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])``. Where the second part would turn negative, a step is taken
 against it, so that a flexible model can't buy a low risk by memorising the positives.
 
-A document is the set of its hashed words. The features are those hash buckets that are more frequent in the positives
+A document is the set of its hashed words and of their beginnings, which inflected words share. The features are those hash buckets that are more frequent in the positives
 than in the unlabelled text beyond chance, and as many that are less frequent; their number is bounded.
 
 The positives and the unlabelled documents are bounded samples (parameters); texts stay on the executors, the driver
@@ -28,8 +28,8 @@ from shelfcast.llm.common import map_text, unused
 from shelfcast.llm.labelled import labelled_ids, labelled_texts
 
 #: Positive and unlabelled documents that a fit reads at most.
-POSITIVES = 6_000
-UNLABELLED = 18_000
+POSITIVES = 4_000
+UNLABELLED = 12_000
 #: Labelled documents from which the positives and the class prior are drawn.
 LABELLED = 60_000
 BUCKETS = 1 << 18
@@ -43,12 +43,15 @@ RIDGE = 1e-4
 #: Bytes that are stripped from the ends of a word before it is hashed.
 STRIPPED = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
+#: Bytes of the beginnings of words.
+PREFIXES = (4, 5)
+
 _cache_limit = 1 << 16
 
 
 def hasher():
-    """Distinct buckets of a text's words, with a bounded memory of hashed words."""
-    seen: dict[bytes, int] = {}
+    """Distinct buckets of a text's words and their beginnings, with a bounded memory of hashed words."""
+    seen: dict[bytes, list[int]] = {}
 
     def buckets(raw: bytes) -> list[int]:
         if len(seen) > _cache_limit:
@@ -57,8 +60,10 @@ def hasher():
         for word in set(raw.lower().split()):
             b = seen.get(word)
             if b is None:
-                b = seen[word] = crc32(word.strip(STRIPPED)) % BUCKETS
-            out.add(b)
+                plain = word.strip(STRIPPED)
+                starts = [b"^" + plain[:k] for k in PREFIXES if len(plain) > k]
+                b = seen[word] = [crc32(x) % BUCKETS for x in (plain, *starts)]
+            out.update(b)
         return sorted(out)
 
     return buckets
@@ -166,8 +171,11 @@ def fit_toxicity(
 
     def sample(rows: DataFrame, limit: int) -> list[np.ndarray]:
         bags = map_text(rows, make, [field], text="body", keep=["doc_id"])
-        found = bags.orderBy(*order, "x").limit(limit).toArrow()["x"]
-        return [np.asarray(r, np.int64) for r in found.to_pylist()]
+        found = bags.orderBy(*order, "x").limit(limit).toArrow()["x"].combine_chunks()
+        if isinstance(found, pa.ChunkedArray):  # without rows there is no chunk
+            return []
+        cuts = np.cumsum(found.value_lengths().to_numpy())[:-1]
+        return np.split(found.flatten().to_numpy(), cuts) if len(found) else []
 
     marked = ids.where("label = 1").orderBy(*order).limit(positives)
     pos = sample(labelled_texts(docs, marked, text, doc_id), positives)
