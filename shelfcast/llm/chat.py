@@ -220,10 +220,10 @@ def format_chats(
         "spots",
         F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>)"),
         lambda done, s: F.when(
-            F.element_at(done.getField("stop"), -1) == s["stop"] - (s["stop"] - s["start"]),
+            F.try_element_at(done, F.lit(-1))["stop"] == s["start"],
             F.concat(
                 F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), s["stop"].alias("stop"))),
+                F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), s["stop"].alias("stop"))),
             ),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
     )
