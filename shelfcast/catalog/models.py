@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures as fx_tables
 from shelfcast.catalog.fixtures import fx
+from shelfcast.catalog.hierarchy import ATTACHED_SQL, HOLDOUT_SQL, HP1, HP2, HP3
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.catalog.scans import BUCKET
 from shelfcast.functions.scalars import log_target
@@ -15,10 +16,15 @@ from shelfcast.operators.features import build_features
 from shelfcast.operators.filters import demand_between
 from shelfcast.operators.tuning import SearchSpace, random_search
 from shelfcast.plans import demand as plan
-from shelfcast.session import cut_lineage
+from shelfcast.session import cut_lineage, fresh_folder
+from shelfcast.sources import store
 
 # One tree on one input with few values: every leaf is a group, so the fit is the group mean.
-ONE_TREE = md.BoostParams(max_depth=8, eta=1.0, gamma=0.0, subsample=1.0, colsample=1.0, min_child=1, rounds=1)
+ONE_TREE = md.BoostParams(
+    max_depth=8, eta=1.0, gamma=0.0, subsample=1.0, colsample=1.0, min_child=1, rounds=1, partitions=8
+)
+# The published settings; the given tables are small enough for few partitions.
+PUBLISHED = md.BoostParams(partitions=8)
 
 
 def agency_rows(spark, sf_dir):
@@ -114,6 +120,7 @@ def full_forecast(spark, sf_dir):
         fx_tables.sales(spark, sf_dir),
         fx_tables.forecast_requests(spark, sf_dir),
         fx_tables.brands(spark, sf_dir),
+        PUBLISHED,
     )
 
 
@@ -138,6 +145,28 @@ def gbt_contract(spark, sf_dir):
     )
 
 
+BACKOFF_FILES = ("hier1", "hier2", "hier3", "hier12", "hier123")
+
+
+@query(
+    "q_forecast_files",
+    ATTACHED_SQL + f""", hp AS (SELECT id, {HP1} AS hier1, {HP2} AS hier2, {HP3} AS hier3 FROM attached, g),
+wide AS (SELECT *, (hier1 + hier2) / 2 AS hier12, (hier1 + hier2 + hier3) / 3 AS hier123 FROM hp)
+SELECT id, model, round(demand, 6) AS demand FROM wide UNPIVOT (demand FOR model IN ({', '.join(BACKOFF_FILES)}))""",
+)
+def forecast_files(spark, sf_dir):
+    """From stored features to all prediction files; those that SQL can compute are compared."""
+    sales, brands = fx_tables.warm_sales(spark, sf_dir), fx_tables.brands(spark, sf_dir)
+    kept = store.save_feature_set(build_features(demand_between(sales), brands), fresh_folder(spark, "features"))
+    result = plan.forecast(
+        sales, fx_tables.forecast_requests(spark, sf_dir), brands, PUBLISHED,
+        features=store.load_feature_set(spark, kept),
+    )
+    path = plan.write_forecast(result, fresh_folder(spark, "forecast"))
+    files = spark.read.schema("id STRING, demand DOUBLE, model STRING").option("header", True).csv(path)
+    return rounded(files.where(F.col("model").isin(*BACKOFF_FILES)))
+
+
 @query("q_importance_contract")
 def importance_contract(spark, sf_dir):
     table = md.importance(spark, full_forecast(spark, sf_dir).model, md.LATEST_INPUTS)
@@ -150,19 +179,29 @@ def importance_contract(spark, sf_dir):
 
 @query(
     "q_holdout_boosted",
-    fx("sales") + """SELECT count(*) AS rows, CAST(sum(demand) AS BIGINT) AS actual_total,
-       0::BIGINT AS missing, 0::BIGINT AS negative FROM sales WHERE week = 9""",
+    HOLDOUT_SQL + """SELECT count(*) AS rows, CAST(sum(demand) AS BIGINT) AS actual_total, 0::BIGINT AS missing,
+       0::BIGINT AS negative, round(sqrt(avg(pow(ln(demand + 1) - ln(predicted + 1), 2))), 6) AS backoff_rmsle,
+       CAST(1 AS INT) AS boosted_is_close FROM predicted""",
 )
 def holdout_boosted(spark, sf_dir):
-    """Every hold-out row is scored once, by a model that has not seen its week."""
-    known = fx_tables.sales(spark, sf_dir)
-    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir))
-    return scored.agg(
+    """Every hold-out row is scored once, by a model that has not seen its week.
+
+    The demand of the given tables is random, so no model can beat the group means by much; a model that has learned
+    nothing is far from them.
+    """
+    known = fx_tables.warm_sales(spark, sf_dir)
+    backoff = plan.evaluate_holdout(plan.holdout_hierarchies(known), "predicted").select("rmsle")
+    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), PUBLISHED)
+    error = F.sqrt(F.avg(F.pow(F.log1p("demand") - F.log1p("boosted"), 2)))
+    totals = scored.agg(
         F.count("*").alias("rows"),
         F.sum("demand").alias("actual_total"),
         F.count_if(F.col("boosted").isNull()).alias("missing"),
         F.count_if(F.col("boosted") < 0).alias("negative"),
-    )
+        error.alias("error"),
+    ).withColumn("backoff_rmsle", backoff.scalar())
+    close = (F.col("error") < 1.1 * F.col("backoff_rmsle")).cast("int").alias("boosted_is_close")
+    return rounded(totals.select("rows", "actual_total", "missing", "negative", "backoff_rmsle", close))
 
 
 @query(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.operators.ensemble import ensemble
+from shelfcast.operators.ensemble import SUBMISSIONS, ensemble
 from shelfcast.operators.evaluate import rmsle
 from shelfcast.operators.features import FEATURE_KEYS, FeatureTables, build_features, model_table
 from shelfcast.operators.filters import demand_between, hash_sample, week_range
@@ -31,7 +31,9 @@ from shelfcast.operators.models import (
     refit,
 )
 from shelfcast.operators.skew import find_hot_keys
+from shelfcast.operators.tuning import SearchResult
 from shelfcast.session import cut_lineage
+from shelfcast.sources.store import load_params, save_params, write_submissions
 
 LATEST_HIERARCHIES = {"hp1": HIER1, "hp2": HIER2, "hp3": HIER3}
 
@@ -76,13 +78,17 @@ def forecast(
     sample: float | None = None,
     negative: float = 0.0,
     cap: float | None = None,
+    features: FeatureTables | None = None,
 ) -> Forecast:
     """Boosted and back-off forecasts with all their ensembles, one row per request.
 
+    ``features`` takes stored feature tables in place of building them; ``params`` may come from a search, by way of
+    ``save_best`` and ``load_best``.
+
     The boosted prediction stays on the request row while the back-off means are attached to it, so
     the two sets of predictions never have to be joined with each other.
     """
-    features = build_features(demand_between(sales), brands)
+    features = build_features(demand_between(sales), brands) if features is None else features
     matrix = training_matrix(sales, features, last_known_week - 4, last_known_week, sample)
     tuning = cv_rounds(matrix, params, tune_folds) if tune_folds else None
     model = refit(matrix, params, tuning) if tuning else fit_boosted(matrix, params)
@@ -93,6 +99,21 @@ def forecast(
     return Forecast(ensemble(predictions), model, tuning)
 
 
+def write_forecast(result: Forecast, path: str) -> str:
+    """All prediction files of a forecast in one job, a folder per model."""
+    return write_submissions(result.predictions, path, SUBMISSIONS)
+
+
+def save_best(spark: SparkSession, search: SearchResult, path: str) -> str:
+    """The settings of the best trial, with its number of rounds, as a parameter file."""
+    best = search.best
+    return save_params(spark, asdict(replace(best.params, rounds=best.result.best_round)), path)
+
+
+def load_best(spark: SparkSession, path: str) -> BoostParams:
+    return BoostParams(**load_params(spark, path))
+
+
 def split_holdout(sales: DataFrame, week: int = 9, faithful: bool = False) -> tuple[DataFrame, DataFrame]:
     """History and hold-out rows. The history ends before the hold-out week.
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfcast.operators.features import FeatureTables
+
 
 def save_features(df: DataFrame, path: str, by_week: bool | None = None) -> str:
     """Write a feature table as Parquet; tables with a week are laid out by week by default.
@@ -24,6 +27,17 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_feature_set(features: FeatureTables, path: str) -> str:
+    """Write all feature tables of one history, a folder each below ``path``."""
+    for field in fields(features):
+        save_features(getattr(features, field.name), f"{path}/{field.name}")
+    return path
+
+
+def load_feature_set(spark: SparkSession, path: str) -> FeatureTables:
+    return FeatureTables(**{f.name: load_features(spark, f"{path}/{f.name}") for f in fields(FeatureTables)})
+
+
 def save_params(spark: SparkSession, params: Mapping[str, int | float | str], path: str) -> str:
     """Write one model's parameters as a one-row table."""
     spark.createDataFrame([tuple(params.values())], list(params)).write.mode("overwrite").parquet(path)
