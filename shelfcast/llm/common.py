@@ -9,7 +9,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from shelfcast.session import fresh_folder
+from shelfcast.session import materialize
+
+__all__ = ["bucket_of", "chunks", "identified", "map_rows", "map_text", "materialize", "packed", "table", "unused"]
 
 #: Rows and bytes of text handled at once inside a task; bounds the memory of a Python worker.
 CHUNK_ROWS = 512
@@ -26,17 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and continue from the files.
-
-    Cuts lineage, and lets a later join see both sides as plain scans, which is what run-time skew handling needs.
-    """
-    spark = df.sparkSession
-    path = fresh_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(name: str, taken: Sequence[str]) -> str:
     """``name``, or a longer one that no column has (column names are compared without case)."""
     lower = {c.lower() for c in taken}
