@@ -49,7 +49,8 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
 def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and continue from the files.
 
-    This cuts the lineage, survives lost executors, and later reads still prune columns.
+    This cuts the lineage, survives lost executors, and later reads still prune columns. A later join sees both sides
+    as plain scans, which is what run-time skew handling needs.
     """
     path = fresh_folder(df.sparkSession, purpose)
     df.write.parquet(path)
