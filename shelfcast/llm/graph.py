@@ -26,9 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             ),
             "labels",
         )
-        up = lower.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = lower.join(up, lower["root"] == up["up"]).select("node", F.least("root", "top").alias("root"), "old")
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "root")
-        if jumped.where("root != old").limit(1).count() == 0:
+        if lower.where("root != old").limit(1).count() == 0:
             return labels
+        up = lower.select(F.col("node").alias("up"), F.col("root").alias("top"))
+        jumped = lower.join(up, lower["root"] == up["up"]).select("node", F.least("root", "top").alias("root"))
+        labels = materialize(jumped, "labels")

@@ -9,10 +9,11 @@ inverted lists. Two sets with similarity 0.8 or more share a listed hash but for
   with too few hashes in short lists. Others are found through their short lists, whatever their partner is.
 
 Pairs come from lists in rounds, never all at once. In a star round each list compares its members with one centre
-that belongs to another component so far; the next round takes another centre. As near copies link quickly, few lists
-still hold several components after that; for these, all pairs between different components are compared, so no link
-that could join components is left out. A pair must pass the estimate from the union of both sketches (five standard
-deviations below the threshold), then the exact similarity of the full sets decides.
+that belongs to another component so far; the next round takes another centre. Where lists still hold several
+components, all pairs between components follow: of short lists as they are, of the dense members of long lists by a
+prefix filter on the full sets in the order of rarity (see ``prefix_pairs``). So no link that could join components is
+left out. A pair must pass the estimate from the union of both sketches (five standard deviations below the
+threshold), then the exact similarity of the full sets decides.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and are kept; repeated
 rows are exact copies; a null id counts as larger than any other.
@@ -25,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from shelfcast.llm.common import map_text, materialize, unused
@@ -39,7 +40,7 @@ SAFE = 12
 SHARED = 5
 #: The estimate from 64 values may be too low by five standard deviations.
 MARGIN = 0.25
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -138,7 +139,10 @@ def promising(a: str, b: str, percent: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(value, class, n)`` rows of the lists that are used, and the classes that are in them."""
+    """``(value, class, n, long, dense, weight)`` rows of the lists that are used, and the classes in them.
+
+    ``long`` marks the lists of dense classes; ``weight`` is how many classes share a class's hashes, in all.
+    """
     listed = classes.select("class", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     sizes = listed.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
     lists = materialize(listed.join(materialize(sizes, "list-sizes"), "value"), "lists")
@@ -146,12 +150,16 @@ def inverted_lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     safe = F.least(F.lit(SAFE), F.floor(F.col("n") * (100 - percent) / 100) + 2)
     members = (
         lists.groupBy("class")
-        .agg(F.first("n").alias("n"), F.count("*").alias("shared"), F.count_if(F.col("f") > LONG).alias("long"))
+        .agg(
+            F.first("n").alias("n"), F.count("*").alias("shared"), F.count_if(F.col("f") > LONG).alias("in_long"),
+            F.sum("f").alias("weight"),
+        )
         .where(F.col("shared") >= need)
-        .withColumn("dense", F.least(F.lit(LISTED), "n") - F.col("long") < safe)
-    )
-    members = materialize(members.select("class", "dense"), "members")
-    used = lists.join(members, "class").where((F.col("f") <= LONG) | F.col("dense")).select("value", "class", "n")
+        .withColumn("dense", F.least(F.lit(LISTED), "n") - F.col("in_long") < safe)
+    )
+    members = materialize(members.select("class", "dense", "weight"), "members")
+    used = lists.join(members, "class").withColumn("long", F.col("f") > LONG).where(~F.col("long") | F.col("dense"))
+    used = used.select("value", "class", "n", "long", "dense", "weight")
     return materialize(used, "used-lists"), members
 
 
@@ -176,7 +184,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
         close = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         close = close.select("a", "b", "ra", "rb").distinct()
         close = with_column(with_column(close, "a", "sketch"), "b", "sketch")
-        close = materialize(close.where(promising("a_sketch", "b_sketch", percent)).select("a", "b", "ra", "rb"), "pairs")
+        close = close.where(promising("a_sketch", "b_sketch", percent)).select("a", "b", "ra", "rb")
         exact = with_column(with_column(close, "a", "set"), "b", "set")
         return materialize(exact.where(similar("a_set", "b_set", percent)).select("ra", "rb").distinct(), "links")
 
@@ -187,8 +195,10 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
 
     for k in range(STAR_ROUNDS + 1):
         placed = materialize(lists.join(roots, "class"), "placed")
-        # Each list with several components, and one of its members as this round's centre.
-        centre = F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(k)))
+        # Each list with several components, and one of its members as this round's centre: first the one with most
+        # in common with others, from which near copies differ by their own edits alone; then another.
+        rank = F.struct(F.when(F.lit(k % 2 == 0), F.col("weight")).otherwise(0), F.xxhash64("class", F.lit(k)))
+        centre = F.max_by(F.struct("class", "n", "root"), rank)
         open_lists = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), centre.alias("c"))
         open_lists = materialize(open_lists.where("lo != hi").select("value", "c"), "open-lists")
         if open_lists.limit(1).count() == 0:
@@ -198,15 +208,40 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             pairs = star.selectExpr("class AS a", "n AS na", "root AS ra", "c.class AS b", "c.n AS nb", "c.root AS rb")
         else:
             rest = placed.join(open_lists.select("value"), "value")
-            left = rest.selectExpr("value", "class AS a", "n AS na", "root AS ra")
-            right = rest.selectExpr("value", "class AS b", "n AS nb", "root AS rb")
-            pairs = left.join(right, "value").where("a < b AND ra != rb")
+            left = rest.where("NOT long").selectExpr("value", "class AS a", "n AS na", "root AS ra")
+            right = rest.where("NOT long").selectExpr("value", "class AS b", "n AS nb", "root AS rb")
+            sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+            short = left.join(right, "value").where(f"a < b AND ra != rb AND {sized}").drop("value")
+            dense = rest.where("long").select("class", "root").distinct()
+            dense = facts.join(dense, "class").select("class", "root", "set")
+            pairs = short.unionByName(prefix_pairs(dense, percent))
         links = verified(pairs)
         if links.limit(1).count():
             roots = merge(roots, links)
     return roots
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, na, nb, ra, rb)``: all pairs with different roots that can be similar, from the full sets.
+
+    Elements are ordered from rare to frequent. Similar sets share an element among the first ones of both, and from
+    their first shared element on both must still have enough elements for the overlap that is needed. A near copy
+    has its own edits first, so of a large group only those with very few edits meet at all.
+    """
+    items = materialize(sets.select("class", "root", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
+    common = items.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    items = items.join(materialize(common, "common-elements"), "value")
+    order = Window.partitionBy("class").orderBy("f", "value")
+    # Elements that no other set has come first; they are not in the join.
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("class"))
+    items = items.withColumn("at", F.row_number().over(order) - 1 + alone)
+    first = materialize(items.where(100 * F.col("at") <= (100 - percent) * F.col("n")), "prefixes")
+    left = first.selectExpr("value", "class AS a", "n AS na", "root AS ra", "at AS ia")
+    right = first.selectExpr("value", "class AS b", "n AS nb", "root AS rb", "at AS ib")
+    needed = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+    return left.join(right, "value").where(f"a < b AND ra != rb AND {needed}").select("a", "b", "na", "nb", "ra", "rb")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
