@@ -13,7 +13,8 @@ any order of work.
   to half of the words): one edit leaves one of the two as it is, so this loses nothing.
 * Every decision is verified by the edit distance between the line and its earliest partner.
 
-Texts travel compressed where they must be joined.
+Texts travel compressed where they must be joined. The large joins are merge joins at every size, so that a trial on
+few rows, where one side could be broadcast, moves what a run on many rows moves.
 
 Defined results: null and empty texts stay as they are; of rows that repeat id and text, each is treated as one of
 them; documents with a null id come last.
@@ -127,7 +128,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
     """``(line, check)`` of the distinct lines that have an earlier line within one edit."""
     keys = distinct.select("line", "check", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = materialize(keys.groupBy("anchor").agg(F.count("*").alias("f")).where("f > 1").select("anchor"), "anchors")
-    wanted = keys.join(shared, "anchor").select("line", "check").distinct()
+    wanted = keys.join(shared.hint("merge"), "anchor").select("line", "check").distinct()
     # Ranges are sorted and numbered in their order, so a smaller number is an earlier line.
     numbered = distinct.join(wanted, ["line", "check"]).select("line", "check", "first").orderBy("first")
     numbered = materialize(numbered.withColumn("no", F.monotonically_increasing_id()), "numbered")
@@ -135,7 +136,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
     asked = numbered.groupBy(F.col("first.r1").alias("_r1"), F.col("first.r2").alias("_r2")).agg(
         F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "no")).alias("asked")
     )
-    found = packed(docs, text, doc_id).dropna(subset=["_z"]).join(materialize(asked, "asked"), ["_r1", "_r2"])
+    found = packed(docs, text, doc_id).dropna(subset=["_z"]).join(materialize(asked, "asked").hint("merge"), ["_r1", "_r2"])
     row = StructType([StructField("no", LongType()), StructField("ids", ArrayType(LongType()))])
 
     def make():
@@ -214,7 +215,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     near = near_lines(distinct, docs, text, doc_id).withColumn("near", F.lit(True))
     marked = distinct.select("line", "check", "first", "f").join(materialize(near, "near-lines"), ["line", "check"], "left")
     marked = materialize(marked.where("near OR f > 1").drop("f"), "marked-lines")
-    drops = lines.join(marked, ["line", "check"]).where(F.col("near").isNotNull() | (place() != F.col("first")))
+    drops = lines.join(marked.hint("merge"), ["line", "check"]).where(F.col("near").isNotNull() | (place() != F.col("first")))
     return drops.groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(
         F.sort_array(F.collect_set("line_no")).alias("dropped")
     )
@@ -229,7 +230,7 @@ def dedup_lines(
     """
     names = {n: unused(n, docs.columns) for n in ("n_lines", "n_dropped", "emptied")}
     drops = materialize(dropped_lines(docs, text, doc_id, min_words), "drops")
-    joined = packed(docs, text, doc_id, ["_held"]).join(drops, ["_r1", "_r2"], "left")
+    joined = packed(docs, text, doc_id, ["_held"]).join(drops.hint("merge"), ["_r1", "_r2"], "left")
     # A null text has no bytes to slice by.
     joined = joined.withColumn("_null", F.col("_z").isNull())
 
