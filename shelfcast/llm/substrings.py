@@ -37,7 +37,7 @@ from shelfcast.llm.common import identified, map_rows, materialize, packed, unus
 
 LENGTH = 200
 SHORT = 40
-GROUP = 1024
+GROUP = 4096
 #: Windows of a text that are handled at once; bounds the memory of a task for very long texts.
 PIECE = 1 << 19
 

@@ -37,7 +37,7 @@ def texts(rng):
     return rows + [(500, None), (501, ""), (502, "a" * 19), (503, "é" * 40), (None, rows[3][1]), (504, rows[5][1]), (504, rows[5][1])]
 
 
-@pytest.mark.parametrize("group", [1024, 3])
+@pytest.mark.parametrize("group", [4096, 3])
 def test_small_alphabet(make_docs, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
     rows = texts(random.Random(group))
