@@ -8,8 +8,8 @@ inverted lists. Two sets with similarity 0.8 or more share a listed hash but for
 * a longer list (a passage in many documents, or a large group of near copies) serves its *dense* members only, those
   with too few hashes in short lists. Others are found through their short lists, whatever their partner is.
 
-Pairs come from lists in rounds, never all at once. In a star round each list compares its members with one centre
-that belongs to another component so far; the next round takes another centre. Where lists still hold several
+Pairs come from lists in rounds, never all at once. In a star round each list has one member as its centre, and every
+class is compared with one centre from another component; the next round takes other centres. Where lists still hold several
 components, all pairs between components follow: of short lists as they are, of the dense members of long lists by a
 prefix filter on the full sets in the order of rarity (see ``prefix_pairs``). So no link that could join components is
 left out. A pair must pass the estimate from the union of both sketches (five standard deviations below the
@@ -205,7 +205,10 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             break
         if k < STAR_ROUNDS:
             star = placed.join(open_lists, "value").where("root != c.root")
-            pairs = star.selectExpr("class AS a", "n AS na", "root AS ra", "c.class AS b", "c.n AS nb", "c.root AS rb")
+            # Of the centres of its lists, a member meets the one that it shares most lists with.
+            met = star.groupBy("class", "n", "root", "c").agg(F.count("*").alias("m"))
+            best = met.groupBy("class", "n", "root").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
+            pairs = best.selectExpr("class AS a", "n AS na", "root AS ra", "c.class AS b", "c.n AS nb", "c.root AS rb")
         else:
             rest = placed.join(open_lists.select("value"), "value")
             left = rest.where("NOT long").selectExpr("value", "class AS a", "n AS na", "root AS ra")
