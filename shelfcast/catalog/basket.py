@@ -11,7 +11,7 @@ from shelfcast.operators import baskets as bk
 
 MAX_LEN = 5
 SUPPORT = 0.01
-CONFIDENCE = 0.3
+CONFIDENCE = 0.5
 
 
 def level_sql(k: int) -> str:
