@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that repeat an earlier one but for a word, and documents that lose all their lines."""
-    out, names = dedup_lines(docs)
+    out, names = dedup_lines(docs, min_exact=1)
     out = out.where(~F.col(names["emptied"])).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 

@@ -1,17 +1,20 @@
-"""Line dedup: lines that equal an earlier line but for one edited word.
+"""Line dedup: lines that equal an earlier line but for one edited word or for where their blanks are.
 
-A line is its lower-cased words; the distance is the number of words inserted, deleted or replaced. Lines of fewer
-than ``MIN_WORDS`` words are never touched. A line is dropped if an earlier one, in the order of document id and line
-number, is within distance one; whether that one is itself dropped plays no part, so the result does not depend on
-any order of work.
+A line is its lower-cased words; the distance is the number of words inserted, deleted or replaced. A line is dropped
+if an earlier one, in the order of document id and line number, equals it, is within distance one, or is the same
+without blanks, however many words are joined or split; whether that one is itself dropped plays no part, so the
+result does not depend on any order of work. Lines of fewer than ``MIN_WORDS`` words are only compared for equality,
+from ``min_exact`` words on (by default ``MIN_WORDS``; the registered query and the pipeline pass 1).
 
 * Equal lines are one distinct line with its earliest place.
+* Lines that differ in blanks have the same hash without them (128 bits, as equal lines).
 * The deletion neighbourhood of a line is the line without its i-th word, for every i, and the line itself. Two lines
   are within one replacement if they have the same variant at the same i; within one insertion if one is a variant of
   the other. So the earliest member of each hashed key decides and no pairs are made.
 * Variants are made only for lines that share their first or last p words with another line (p is a power of two, up
-  to half of the words): one edit leaves one of the two as it is, so this loses nothing.
-* Every decision is verified by the edit distance between the line and its earliest partner.
+  to half of the words): one edit leaves one of the two as it is, so this loses nothing. The hash without blanks is
+  shared in the same way.
+* Every decision by a variant is verified by the edit distance between the line and its earliest partner.
 
 Texts travel compressed where they must be joined. The large joins are merge joins at every size, so that a trial on
 few rows, where one side could be broadcast, moves what a run on many rows moves.
@@ -60,7 +63,13 @@ def anchors(words: list[bytes]) -> list[int]:
     for p in anchor_lengths(len(words)):
         out.append(signed(xxhash.xxh64_intdigest(b" ".join(words[:p]), seed=2 * p)))
         out.append(signed(xxhash.xxh64_intdigest(b" ".join(words[-p:]), seed=2 * p + 1)))
-    return out
+    return [*out, unspaced(words)[0]]
+
+
+def unspaced(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of a line without its blanks."""
+    whole = b"".join(words)
+    return signed(xxhash.xxh64_intdigest(whole, seed=1)), signed(xxhash.xxh64_intdigest(whole, seed=0))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,8 +99,9 @@ def within_one(a: list[int], b: list[int]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def line_table(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
-    """``(doc, r1, r2, line_no, line, check, anchors)`` for every line that takes part."""
+def line_table(docs: DataFrame, text: str, doc_id: str, min_words: int, min_exact: int) -> DataFrame:
+    """``(doc, r1, r2, line_no, line, check, anchors)`` for every line that takes part; short lines have no anchors."""
+    least = max(1, min(min_words, min_exact))
     keyed = identified(docs, text, doc_id).select(F.col("_id").alias("doc"), "_r1", "_r2", "_body")
 
     def make():
@@ -100,12 +110,13 @@ def line_table(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataF
             for raw in texts:
                 for number, line in enumerate(raw.split(b"\n")):
                     words = line.lower().split()
-                    if len(words) >= min_words:
+                    if len(words) >= least:
                         whole = b" ".join(words)
                         numbers.append(number)
                         lines.append(signed(xxhash.xxh64_intdigest(whole)))
                         checks.append(signed(xxhash.xxh64_intdigest(whole, seed=1)))
-                        keys.extend(anchors(words))
+                        if len(words) >= min_words:
+                            keys.extend(anchors(words))
                         starts.append(len(keys))
                 offsets.append(len(numbers))
             anchor_lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys, pa.int64()))
@@ -125,7 +136,7 @@ def place() -> Column:
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``(line, check)`` of the distinct lines that have an earlier line within one edit."""
+    """``(line, check)`` of the distinct lines that have an earlier line within one edit, or the same without blanks."""
     keys = distinct.select("line", "check", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = materialize(keys.groupBy("anchor").agg(F.count("*").alias("f")).where("f > 1").select("anchor"), "anchors")
     wanted = keys.join(shared.hint("merge"), "anchor").select("line", "check").distinct()
@@ -137,7 +148,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
         F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "no")).alias("asked")
     )
     found = packed(docs, text, doc_id).dropna(subset=["_z"]).join(materialize(asked, "asked").hint("merge"), ["_r1", "_r2"])
-    row = StructType([StructField("no", LongType()), StructField("ids", ArrayType(LongType()))])
+    row = StructType(
+        [StructField(n, LongType()) for n in ("no", "letters", "letters_check")] + [StructField("ids", ArrayType(LongType()))]
+    )
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -149,9 +162,12 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
                 own = []
                 for a in asked:
                     words = lines[a["line_no"]].lower().split()
-                    own.append({"no": a["no"], "ids": [signed(xxhash.xxh64_intdigest(w)) for w in words]})
+                    letters, check = unspaced(words)
+                    ids = [signed(xxhash.xxh64_intdigest(w)) for w in words]
+                    own.append({"no": a["no"], "letters": letters, "letters_check": check, "ids": ids})
                 out.append(own)
-            return [pa.array(out, pa.list_(pa.struct([("no", pa.int64()), ("ids", pa.list_(pa.int64()))])))]
+            fields = [(n, pa.int64()) for n in ("no", "letters", "letters_check")] + [("ids", pa.list_(pa.int64()))]
+            return [pa.array(out, pa.list_(pa.struct(fields)))]
 
         return kernel
 
@@ -202,12 +218,18 @@ def near_lines(distinct: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
     checked = map_rows(
         both.withColumn("_size", F.col("a").cast("string")), verify, [StructField("ok", BooleanType())], "_size", ["no"]
     )
-    return checked.where("ok").join(numbered, "no").select("line", "check")
+    own = texts.select("no", "letters", "letters_check")
+    firsts = own.groupBy("letters", "letters_check").agg(F.count("*").alias("f"), F.min("no").alias("partner"))
+    moved = own.join(materialize(firsts.where("f > 1").drop("f"), "letters"), ["letters", "letters_check"])
+    near = checked.where("ok").select("no").unionByName(moved.where("partner < no").select("no")).distinct()
+    return near.join(numbered, "no").select("line", "check")
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_exact: int = MIN_WORDS
+) -> DataFrame:
     """``(_r1, _r2, dropped)``: sorted numbers of the lines to drop, for documents that have some."""
-    lines = materialize(line_table(docs, text, doc_id, min_words), "lines")
+    lines = materialize(line_table(docs, text, doc_id, min_words, min_exact), "lines")
     distinct = lines.groupBy("line", "check").agg(
         F.min(place()).alias("first"), F.count("*").alias("f"), F.first("anchors").alias("anchors")
     )
@@ -222,14 +244,14 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 
 
 def dedup_lines(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_exact: int = MIN_WORDS
 ) -> tuple[DataFrame, dict[str, str]]:
     """The documents with ``text`` without the dropped lines, plus ``n_lines``, ``n_dropped`` and ``emptied``.
 
     ``emptied`` marks a document that had a word before and has none left. Also returns the names of the new columns.
     """
     names = {n: unused(n, docs.columns) for n in ("n_lines", "n_dropped", "emptied")}
-    drops = materialize(dropped_lines(docs, text, doc_id, min_words), "drops")
+    drops = materialize(dropped_lines(docs, text, doc_id, min_words, min_exact), "drops")
     joined = packed(docs, text, doc_id, ["_held"]).join(drops.hint("merge"), ["_r1", "_r2"], "left")
     # A null text has no bytes to slice by.
     joined = joined.withColumn("_null", F.col("_z").isNull())

@@ -147,7 +147,7 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines dropped, and the digest of the remaining text."""
-    out, names = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, names = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_exact=1)
     return out.select(
         "doc_id",
         F.col(names["n_lines"]).alias("n_lines"),
