@@ -23,8 +23,9 @@ from shelfcast.sources import store
 ONE_TREE = md.BoostParams(
     max_depth=8, eta=1.0, gamma=0.0, subsample=1.0, colsample=1.0, min_child=1, rounds=1, partitions=8
 )
-# The published settings; the given tables are small enough for few partitions.
-PUBLISHED = md.BoostParams(partitions=8)
+# The published settings: rounds from five folds of up to 500 rounds with early stopping, partitions from the rows.
+PUBLISHED = md.BoostParams(rounds=500, partitions=0)
+FOLDS = 5
 
 
 def agency_rows(spark, sf_dir):
@@ -121,6 +122,7 @@ def full_forecast(spark, sf_dir):
         fx_tables.forecast_requests(spark, sf_dir),
         fx_tables.brands(spark, sf_dir),
         PUBLISHED,
+        tune_folds=FOLDS,
     )
 
 
@@ -148,6 +150,18 @@ def gbt_contract(spark, sf_dir):
 BACKOFF_FILES = ("hier1", "hier2", "hier3", "hier12", "hier123")
 
 
+def written_forecast(spark, sf_dir):
+    """The forecast from stored features, and all its prediction files, read again."""
+    sales, brands = fx_tables.warm_sales(spark, sf_dir), fx_tables.brands(spark, sf_dir)
+    kept = store.save_feature_set(build_features(demand_between(sales), brands), fresh_folder(spark, "features"))
+    result = plan.forecast(
+        sales, fx_tables.forecast_requests(spark, sf_dir), brands, PUBLISHED, tune_folds=FOLDS,
+        features=store.load_feature_set(spark, kept),
+    )
+    path = plan.write_forecast(result, fresh_folder(spark, "forecast"))
+    return result, spark.read.schema("id STRING, demand DOUBLE, model STRING").option("header", True).csv(path)
+
+
 @query(
     "q_forecast_files",
     ATTACHED_SQL + f""", hp AS (SELECT id, {HP1} AS hier1, {HP2} AS hier2, {HP3} AS hier3 FROM attached, g),
@@ -155,15 +169,8 @@ wide AS (SELECT *, (hier1 + hier2) / 2 AS hier12, (hier1 + hier2 + hier3) / 3 AS
 SELECT id, model, round(demand, 6) AS demand FROM wide UNPIVOT (demand FOR model IN ({', '.join(BACKOFF_FILES)}))""",
 )
 def forecast_files(spark, sf_dir):
-    """From stored features to all prediction files; those that SQL can compute are compared."""
-    sales, brands = fx_tables.warm_sales(spark, sf_dir), fx_tables.brands(spark, sf_dir)
-    kept = store.save_feature_set(build_features(demand_between(sales), brands), fresh_folder(spark, "features"))
-    result = plan.forecast(
-        sales, fx_tables.forecast_requests(spark, sf_dir), brands, PUBLISHED,
-        features=store.load_feature_set(spark, kept),
-    )
-    path = plan.write_forecast(result, fresh_folder(spark, "forecast"))
-    files = spark.read.schema("id STRING, demand DOUBLE, model STRING").option("header", True).csv(path)
+    """From stored features to all prediction files; those that SQL can compute are compared, a test has the others."""
+    _, files = written_forecast(spark, sf_dir)
     return rounded(files.where(F.col("model").isin(*BACKOFF_FILES)))
 
 
@@ -191,7 +198,7 @@ def holdout_boosted(spark, sf_dir):
     """
     known = fx_tables.warm_sales(spark, sf_dir)
     backoff = plan.evaluate_holdout(plan.holdout_hierarchies(known), "predicted").select("rmsle")
-    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), PUBLISHED)
+    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), PUBLISHED, tune_folds=FOLDS)
     error = F.sqrt(F.avg(F.pow(F.log1p("demand") - F.log1p("boosted"), 2)))
     totals = scored.agg(
         F.count("*").alias("rows"),

@@ -88,7 +88,7 @@ class BoostParams:
     ``gamma`` is a total loss reduction; Spark's limit is per row of a node, so it is divided by the
     training rows. Columns are drawn per node, not per tree. Rows are drawn per partition, so ``partitions`` is part
     of the model: the same value gives the same trees however the training rows arrive. Set it to a small multiple of
-    the cluster's cores.
+    the cluster's cores, or to 0 for one per ``ROWS_PER_PARTITION`` training rows, at least ``LEAST_PARTITIONS``.
     """
 
     # The best single parameters noted for the forecast.
@@ -104,11 +104,20 @@ class BoostParams:
     partitions: int = 64
 
 
+#: Where the number of partitions is left to the rows; it grows with them and is the same in every layout.
+ROWS_PER_PARTITION = 100_000
+LEAST_PARTITIONS = 8
+
+
+def partitions_for(rows: int) -> int:
+    return max(LEAST_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
+
+
 def laid_out(train: DataFrame, params: BoostParams, label: str) -> DataFrame:
     """The training rows in an order and in partitions that depend on their values alone."""
     key = F.xxhash64(vector_to_array("features"), F.col(label))
     rows = train.select("features", label, key.alias("__key"))
-    return rows.repartition(params.partitions, "__key").sortWithinPartitions("__key").drop("__key")
+    return rows.repartition(params.partitions or partitions_for(train.count()), "__key").sortWithinPartitions("__key").drop("__key")
 
 
 def fit_boosted(train: DataFrame, params: BoostParams = BoostParams(), label: str = "target") -> GBTRegressionModel:

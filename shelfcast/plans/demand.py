@@ -136,12 +136,21 @@ def holdout_hierarchies(
 
 
 def holdout_boosted(
-    sales: DataFrame, brands: DataFrame, params: BoostParams = BoostParams(), week: int = 9, faithful: bool = False
+    sales: DataFrame,
+    brands: DataFrame,
+    params: BoostParams = BoostParams(),
+    week: int = 9,
+    faithful: bool = False,
+    tune_folds: int | None = None,
 ) -> DataFrame:
-    """Boosted predictions beside the actual demand of the hold-out week, with the same inputs as training."""
+    """Boosted predictions beside the actual demand of the hold-out week, with the same inputs as training.
+
+    ``tune_folds`` takes the number of rounds from cross-validation on the history.
+    """
     history, actual = split_holdout(demand_between(sales), week, faithful)
     features = build_features(history, brands)
-    model = fit_boosted(training_matrix(history, features, week - 4, week if faithful else week - 1), params)
+    matrix = training_matrix(history, features, week - 4, week if faithful else week - 1)
+    model = refit(matrix, params, cv_rounds(matrix, params, tune_folds)) if tune_folds else fit_boosted(matrix, params)
     rows = assemble(model_table(actual, features, last_known_week=week - 1), LATEST_INPUTS)
     return predict_demand(model, rows).select("id", "demand", "boosted")
 
