@@ -10,6 +10,7 @@ from shelfcast.llm.chat import format_chats, read_back
 from shelfcast.llm.common import bucket_of, materialize, table
 from shelfcast.llm.decontaminate import judged
 from shelfcast.llm.language_model import score_documents
+from shelfcast.llm.lexical_search import rank
 from shelfcast.llm.linededup import dedup_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.neardup import near_duplicates
@@ -209,3 +210,29 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, ~held_out)
     columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.select("doc_id", held_out.alias("held_out"), *columns)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+items AS (SELECT DISTINCT item_id, term FROM b),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM df, totals),
+m AS (SELECT rid, doc_id, 100 - 50 + ((50 * CAST(len(w) AS BIGINT) * n_docs) // n_words) AS m FROM d, totals WHERE len(w) > 0),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM items JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
+@query(OP11_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
