@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
+from shelfcast.llm import alignment as al
 from shelfcast.llm.chat import format_chats, read_back
 from shelfcast.llm.common import bucket_of, materialize, table
 from shelfcast.llm.decontaminate import judged
@@ -236,3 +240,49 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 50
 @query(OP11_SQL)
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on the machine that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_level() -> al.ByteLevel:
+    return al.ByteLevel(tokenizer_file("byte_bpe_50k.json"))
+
+
+def pieces() -> al.Pieces:
+    return al.Pieces(tokenizer_file("piece_bpe_32k.model"))
+
+
+#: Columns that ``op12`` makes of an alignment inside the task; ``links`` is only needed until the counts are known.
+ALIGNED = [StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")]
+ALIGNED += [StructField("groups_sha256", StringType()), StructField("links", BinaryType())]
+
+
+def digest_view(aligner: al.Aligner):
+    sizes = [len(side.sizes) for side in aligner.sides]
+    rows = al.digits(max(sizes))
+
+    def view(found: al.Aligned):
+        doc = found.a.doc[found.over_a][found.linked]
+        links = found.per_doc(doc)
+        texts = al.group_texts(found, rows)
+        digests = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
+        counts = (found.per_doc(found.a.doc), found.per_doc(found.b.doc), links, links)
+        return [*map(pa.array, counts), pa.array(digests), pa.array(al.link_lists(found, sizes[1]), pa.binary())]
+
+    return view
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens are never empty, so each shared end has one link and closes one group."""
+    docs = table(spark, sf_dir, "documents")
+    out, names = al.align(docs, byte_level, pieces, digest_view, ALIGNED, keep=["doc_id"])
+    out = materialize(out, "aligned")
+    vocabularies = byte_level().tokens, pieces().tokens
+    counts = al.pair_counts(out, names["links"])
+    return al.rate_links(out, names["links"], counts, len(vocabularies[1]), al.linkable(*vocabularies))[0]
