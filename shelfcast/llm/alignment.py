@@ -39,15 +39,25 @@ from shelfcast.llm.common import map_rows, map_text, unused
 
 #: A blank between two characters that are not blanks (the one behind is no white space at all).
 BETWEEN_WORDS = re.compile(r"(?<=[^ ]) (?=\S)")
+ODD_BLANK = re.compile(r" \s")
 
 #: Tokens of known words that a task keeps; beyond that it starts anew.
 KEPT_TOKENS = 4_000_000
 
+#: New words that are encoded as one text.
+WORDS_AT_ONCE = 1_000
+
 #: Fixed values of the public formats: the mark of a blank, and pieces that stand for one byte.
 BLANK_MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def words_of(text: str) -> list[str]:
+    """The text cut at ``BETWEEN_WORDS``; most texts have no other blanks."""
+    plain = text[0] != " " and text[-1] != " " and not ODD_BLANK.search(text)
+    return text.split(" ") if plain else BETWEEN_WORDS.split(text)
+
+
 def byte_symbols() -> dict[str, int]:
     """Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,9 +81,9 @@ class ByteLevel:
             known = all(c in symbols for c in token)
             self.tokens[at] = bytes(symbols[c] for c in token) if known else token.encode()
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word with a blank before it."""
-        found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text with a blank before it."""
+        found = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [e.ids for e in found]
 
 
@@ -94,8 +104,8 @@ class Pieces:
         byte = BYTE_PIECE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(BLANK_MARK, " ").encode()
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return self.model.encode(words, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 class Side:
@@ -111,16 +121,33 @@ class Side:
         self.counts = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.faithful = np.zeros(0, bool)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words)
-        tokens = self.tokenizer.tokens
-        same = [b"".join([tokens[i] for i in ids]) == b" " + w.encode() for ids, w in zip(found, words)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
-        self.counts = np.append(self.counts, counts)
-        self.ids = np.append(self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())))
-        self.faithful = np.append(self.faithful, same)
+        """Tokens of new words, encoded many at a time: their chain is cut where the bytes of a word end."""
+        parts = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        for part, found in zip(parts, self.tokenizer.encode([" ".join(p) for p in parts])):
+            raw = [b" " + w.encode() for w in part]
+            ids = np.array(found, np.int32)
+            if b"".join(map(self.tokenizer.tokens.__getitem__, found)) == b"".join(raw):
+                ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+                self.keep(ids, np.diff(cuts, prepend=0), np.ones(len(part), bool))
+            else:
+                own = self.tokenizer.encode(part)
+                counts = np.fromiter(map(len, own), np.int64, len(own))
+                same = [b"".join(map(self.tokenizer.tokens.__getitem__, o)) == r for o, r in zip(own, raw)]
+                self.keep(np.array([i for o in own for i in o], np.int32), counts, np.array(same, bool))
+
+    def keep(self, ids: np.ndarray, counts: np.ndarray, faithful: np.ndarray) -> None:
+        self.new.append((ids, counts, faithful))
+
+    def settle(self) -> None:
+        """Put what was learned behind what was known."""
+        ids, counts, faithful = zip((self.ids, self.counts, self.faithful), *self.new)
+        self.ids, self.counts, self.faithful = np.concatenate(ids), np.concatenate(counts), np.concatenate(faithful)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.new = []
 
     def tokens_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words in a row, and the number of tokens of each word."""
@@ -156,8 +183,12 @@ class Aligned:
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """Number of the group of each token, counted through the slice."""
-        ends = self.a.end[self.over_a[self.linked]]
-        return np.searchsorted(ends, self.a.end), np.searchsorted(ends, self.b.end)
+        out = []
+        for tokens, over in ((self.a, self.over_a), (self.b, self.over_b)):
+            closing = np.zeros(len(tokens.ids), np.int64)
+            closing[over[self.linked]] = 1
+            out.append(np.cumsum(closing) - closing)
+        return out[0], out[1]
 
     def per_doc(self, doc: np.ndarray) -> np.ndarray:
         return np.bincount(doc, minlength=self.n_docs)
@@ -197,6 +228,7 @@ class Aligner:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             for side in self.sides:
                 side.learn(new)
+                side.settle()
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def same_bytes(self, places: np.ndarray, raw: bytes) -> bool:
@@ -210,7 +242,7 @@ class Aligner:
         split = []
         for raw in texts:
             try:
-                split.append(BETWEEN_WORDS.split(raw.decode()) if raw else [])
+                split.append(words_of(raw.decode()) if raw else [])
             except UnicodeDecodeError:
                 split.append([])
         places = self.places([w for words in split for w in words])
@@ -315,28 +347,20 @@ def group_texts(found: Aligned, rows: np.ndarray) -> list[bytes]:
         mark[at[ends]] = ord(last)
     shown = rows[ids]
     shown[:, -1] = mark
-    used = shown != 0
-    sizes = np.cumsum(np.append(0, used.sum(axis=1)))
-    flat = shown[used].tobytes()
+    flat = shown[shown != 0].tobytes()
+    sizes = np.cumsum(np.append(0, np.count_nonzero(rows, axis=1)[ids] + 1))
     cuts = sizes[np.searchsorted(doc, np.arange(found.n_docs + 1))]
     return [flat[i : max(i, j - 1)] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
-def pair_codes(found: Aligned, n_second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each linked id pair, and its document."""
+def link_lists(found: Aligned, n_first: int, n_second: int) -> list[bytes]:
+    """Each text's linked pairs as compressed codes (first id times ``n_second`` plus second id) with their counts."""
     a, b = found.over_a[found.linked], found.over_b[found.linked]
-    return found.a.ids[a].astype(np.int64) * n_second + found.b.ids[b], found.a.doc[a]
-
-
-def link_lists(found: Aligned, n_second: int) -> list[bytes]:
-    """Each text's linked pairs as compressed 64-bit codes with how often each occurs in the text."""
-    codes, doc = pair_codes(found, n_second)
-    order = np.lexsort((codes, doc))
-    codes, doc = codes[order], doc[order]
-    new = np.append(True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])) if len(codes) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(codes)))
-    codes, doc = codes[at], doc[at]
+    span = n_first * n_second
+    keys = np.sort((found.a.doc[a] * n_first + found.a.ids[a]) * n_second + found.b.ids[b])
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    counts = np.diff(np.append(at, len(keys)))
+    codes, doc = keys[at] % span, keys[at] // span
     cuts = np.searchsorted(doc, np.arange(found.n_docs + 1)).tolist()
     pack = zstandard.ZstdCompressor(level=1).compress
     steps = np.diff(codes, prepend=0)

@@ -272,7 +272,7 @@ def digest_view(aligner: al.Aligner):
         texts = al.group_texts(found, rows)
         digests = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
         counts = (found.per_doc(found.a.doc), found.per_doc(found.b.doc), links, links)
-        return [*map(pa.array, counts), pa.array(digests), pa.array(al.link_lists(found, sizes[1]), pa.binary())]
+        return [*map(pa.array, counts), pa.array(digests), pa.array(al.link_lists(found, *sizes), pa.binary())]
 
     return view
 
