@@ -22,7 +22,9 @@ from shelfcast.llm.quality_gam import fit_quality, score_quality
 from shelfcast.llm.quality_rules import fit_rules, judge
 from shelfcast.llm.substrings import remove_repeats
 from shelfcast.llm.textstats import COUNTS
+from shelfcast.llm.token_files import WordTokenizer, read_sums, write_tokens
 from shelfcast.llm.toxicity import fit_toxicity, score_toxicity
+from shelfcast.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -286,3 +288,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = byte_level().tokens, pieces().tokens
     counts = al.pair_counts(out, names["links"])
     return al.rate_links(out, names["links"], counts, len(vocabularies[1]), al.linkable(*vocabularies))[0]
+
+
+def word_tokenizer() -> WordTokenizer:
+    return WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+
+
+@query()
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), word_tokenizer, 2, fresh_folder(spark, "token-files"))
+    return read_sums(spark, path).withColumnRenamed("doc", "doc_id")
