@@ -19,6 +19,7 @@ from pyspark.sql.types import NumericType
 from shelfcast.functions.scalars import known
 from shelfcast.operators.filters import cap
 from shelfcast.operators.models import fit_tree, in_parallel
+from shelfcast.operators.trees import split_table, tree_nodes
 from shelfcast.session import cut_lineage
 
 # Upper limits, pooled-standardised columns and interactions of the scoring model.
@@ -192,6 +193,16 @@ def design(terms: Sequence[str], levels: Mapping[str, Sequence[str]], features:
     return PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol=features)])
 
 
+def applicant_splits(
+    train: DataFrame, terms: Sequence[str] = LOGIT_TERMS, label: str = "target_flag", max_depth: int = 5, min_rows: int = 5
+) -> DataFrame:
+    """The split table of a tree over all terms, to look for interactions: each node's conditions, rows and mean flag."""
+    matrix = design(terms, category_levels(train, terms))
+    rows = cut_lineage(matrix.transform(train).select("features", label))
+    model = fit_tree(rows, label, max_depth=max_depth, min_rows=min_rows)
+    return split_table(cut_lineage(tree_nodes(train.sparkSession, model, matrix.stages[-1].getInputCols())))
+
+
 @dataclass(frozen=True)
 class Logit:
     """A fitted logistic model with the design it was fitted on."""
