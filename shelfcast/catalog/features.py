@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from shelfcast.catalog import fixtures as fx_tables
 from shelfcast.catalog.fixtures import fx
 from shelfcast.catalog.registry import query, rounded
+from shelfcast.catalog.scans import BUCKET
 from shelfcast.catalog.scans import WEEKLY_SQL
 from shelfcast.operators import features as ft
 from shelfcast.operators.filters import demand_between, week_range
-from shelfcast.operators.hierarchy import tier_features
+from shelfcast.operators.hierarchy import out_of_fold_features, tier_features
 from shelfcast.session import fresh_folder
 from shelfcast.sources import store
 
@@ -193,3 +194,24 @@ LEFT JOIN pr USING (product_id, route_id) LEFT JOIN p USING (product_id)""",
 def tier_inputs(spark, sf_dir):
     requests, known = fx_tables.forecast_requests(spark, sf_dir), fx_tables.sales(spark, sf_dir)
     return rounded(tier_features(requests, known).select("id", "pca", "pr", "p"))
+
+
+def others_sql(name: str, keys: str, scale: float, offset: float) -> str:
+    """Scaled group means of each row without the rows of its own fold."""
+    return f"""{name} AS (SELECT id, CASE WHEN n_all > n THEN exp((s_all - s) / (n_all - n)) * {scale} + {offset} END AS {name} FROM (
+  SELECT id, sum(y) OVER (PARTITION BY {keys}) AS s_all, count(y) OVER (PARTITION BY {keys}) AS n_all,
+         sum(y) OVER (PARTITION BY {keys}, fold) AS s, count(y) OVER (PARTITION BY {keys}, fold) AS n FROM folded))"""
+
+
+@query(
+    "q_out_of_fold",
+    fx("sales") + f""", folded AS (SELECT *, ({BUCKET.format(key='id')}) % 5 AS fold, ln(demand + 1) AS y FROM sales),
+{others_sql('pca', 'product_id, client_id, agency_id', 0.75, 0.75)},
+{others_sql('pr', 'product_id, route_id', 0.8, 0.1)},
+{others_sql('p', 'product_id', 1.15, 0.25)}
+SELECT id, round(coalesce(pca, p), 6) AS pca, round(coalesce(pr, p), 6) AS pr, round(coalesce(p, 7), 6) AS p
+FROM pca JOIN pr USING (id) JOIN p USING (id)""",
+)
+def out_of_fold(spark, sf_dir):
+    """Group means as training inputs, from the other folds."""
+    return rounded(out_of_fold_features(fx_tables.sales(spark, sf_dir)).select("id", "pca", "pr", "p"))

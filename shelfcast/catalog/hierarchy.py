@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures as fx_tables
-from shelfcast.catalog.fixtures import warm_fx as fx
+from shelfcast.catalog.fixtures import fx as whole_fx, warm_fx as fx
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.functions.scalars import midpoint
 from shelfcast.operators import ensemble as en, evaluate, hierarchy as hi
+from shelfcast.operators.skew import find_hot_keys
 from shelfcast.plans import demand
 
 TIER_KEYS = {t.name: t.keys for t in hi.TIERS}
@@ -128,26 +129,23 @@ for _name, _hierarchy, _tiers, _sql in (
 
 @query(
     "q_pair_returns",
-    fx("sales") + """SELECT product_id, client_id, round(exp(avg(ln(return_units + 1))) - 1, 6) AS pair_returns
+    whole_fx("sales") + """SELECT product_id, client_id, round(exp(avg(ln(return_units + 1))) - 1, 6) AS pair_returns
 FROM sales WHERE return_units > 0 GROUP BY ALL""",
 )
 def pair_returns(spark, sf_dir):
-    return rounded(hi.pair_returns(fx_tables.warm_sales(spark, sf_dir)))
+    return rounded(hi.pair_returns(fx_tables.sales(spark, sf_dir)))
 
 
 @query(
     "q_means_early",
-    fx("sales") + f""", pa AS (SELECT product_id, agency_id, exp({G}) * 0.57928 AS om FROM sales GROUP BY ALL),
+    whole_fx("sales") + f""", pa AS (SELECT product_id, agency_id, exp({G}) * 0.57928 AS om FROM sales GROUP BY ALL),
 pac AS (SELECT product_id, agency_id, client_id, exp({G}) - 0.91 AS apm FROM sales GROUP BY ALL)
 SELECT product_id, agency_id, client_id, round(om, 6) AS om, round(apm, 6) AS apm,
        (SELECT CAST(median(demand) AS DOUBLE) FROM sales) AS overall FROM pac JOIN pa USING (product_id, agency_id)""",
 )
 def means_early(spark, sf_dir):
-    known = fx_tables.warm_sales(spark, sf_dir)
-    om = hi.scaled_means(known, ("product_id", "agency_id"), "om", scale=0.57928)
-    apm = hi.scaled_means(known, ("product_id", "agency_id", "client_id"), "apm", offset=-0.91)
-    overall = hi.global_level(known, hi.Fallback("median"))
-    return rounded(apm.join(om, ["product_id", "agency_id"]).withColumn("overall", overall.scalar()))
+    known = fx_tables.sales(spark, sf_dir)
+    return rounded(hi.early_means(known, find_hot_keys(known, [("product_id", "agency_id")])))
 
 
 @query(
@@ -215,13 +213,13 @@ def holdout_scores(spark, sf_dir):
 
 @query(
     "q_rmsle_multi",
-    fx("sales") + """, t AS (SELECT CASE WHEN demand > 40 THEN NULL ELSE demand END AS a1, units_sold AS p1,
+    whole_fx("sales") + """, t AS (SELECT CASE WHEN demand > 40 THEN NULL ELSE demand END AS a1, units_sold AS p1,
        return_units AS a2, CAST(demand AS DOUBLE) / 2 AS p2 FROM sales)
 SELECT round(sqrt((sum(pow(ln(a1 + 1) - ln(p1 + 1), 2)) + sum(pow(ln(a2 + 1) - ln(p2 + 1), 2))) / (count(a1) + count(a2))), 6)
        AS rmsle, count(a1) + count(a2) AS values FROM t""",
 )
 def rmsle_multi(spark, sf_dir):
-    pairs = fx_tables.warm_sales(spark, sf_dir).select(
+    pairs = fx_tables.sales(spark, sf_dir).select(
         F.when(F.col("demand") <= 40, F.col("demand")).alias("a1"),
         F.col("units_sold").alias("p1"),
         F.col("return_units").alias("a2"),

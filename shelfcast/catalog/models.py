@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures as fx_tables
 from shelfcast.catalog.fixtures import fx
-from shelfcast.catalog.hierarchy import ATTACHED_SQL, HOLDOUT_SQL, HP1, HP2, HP3
+from shelfcast.catalog.hierarchy import ATTACHED_SQL, HP1, HP2, HP3
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.catalog.scans import BUCKET
 from shelfcast.functions.scalars import log_target
@@ -118,7 +118,7 @@ def assemble(spark, sf_dir):
 
 def full_forecast(spark, sf_dir):
     return plan.forecast(
-        fx_tables.sales(spark, sf_dir),
+        fx_tables.planted_sales(spark, sf_dir),
         fx_tables.forecast_requests(spark, sf_dir),
         fx_tables.brands(spark, sf_dir),
         PUBLISHED,
@@ -184,31 +184,42 @@ def importance_contract(spark, sf_dir):
     )
 
 
-@query(
-    "q_holdout_boosted",
-    HOLDOUT_SQL + """SELECT count(*) AS rows, CAST(sum(demand) AS BIGINT) AS actual_total, 0::BIGINT AS missing,
-       0::BIGINT AS negative, round(sqrt(avg(pow(ln(demand + 1) - ln(predicted + 1), 2))), 6) AS backoff_rmsle,
-       CAST(1 AS INT) AS boosted_is_close FROM predicted""",
-)
-def holdout_boosted(spark, sf_dir):
-    """Every hold-out row is scored once, by a model that has not seen its week.
+HOLDOUT_CONSTANT_SQL = fx("planted_sales") + """, actual AS (SELECT * FROM planted_sales WHERE week = 9),
+c AS (SELECT avg(greatest(ln(demand + 1), 0)) AS level FROM planted_sales WHERE week BETWEEN {first} AND 8)
+SELECT count(*) AS rows, CAST(sum(demand) AS BIGINT) AS actual_total, 0::BIGINT AS missing, 0::BIGINT AS negative,
+       round(sqrt(avg(pow(ln(demand + 1) - level, 2))), 6) AS constant_rmsle, CAST(1 AS INT) AS learns FROM actual, c"""
 
-    The demand of the given tables is random, so no model can beat the group means by much; a model that has learned
-    nothing is far from them.
-    """
-    known = fx_tables.warm_sales(spark, sf_dir)
-    backoff = plan.evaluate_holdout(plan.holdout_hierarchies(known), "predicted").select("rmsle")
-    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), PUBLISHED, tune_folds=FOLDS)
-    error = F.sqrt(F.avg(F.pow(F.log1p("demand") - F.log1p("boosted"), 2)))
-    totals = scored.agg(
+
+def holdout_contract(scored, known, first):
+    """Totals of the hold-out, and whether the error is below half of the best constant's, which SQL computes as well."""
+    train = known.where(F.col("week").between(first, 8))
+    level = train.agg(F.avg(log_target(F.col("demand"))).alias("level")).scalar()
+    error = lambda p: F.sqrt(F.avg(F.pow(F.log1p("demand") - p, 2)))
+    totals = scored.withColumn("level", level).agg(
         F.count("*").alias("rows"),
         F.sum("demand").alias("actual_total"),
         F.count_if(F.col("boosted").isNull()).alias("missing"),
         F.count_if(F.col("boosted") < 0).alias("negative"),
-        error.alias("error"),
-    ).withColumn("backoff_rmsle", backoff.scalar())
-    close = (F.col("error") < 1.1 * F.col("backoff_rmsle")).cast("int").alias("boosted_is_close")
-    return rounded(totals.select("rows", "actual_total", "missing", "negative", "backoff_rmsle", close))
+        error(F.col("level")).alias("constant_rmsle"),
+        error(F.log1p("boosted")).alias("error"),
+    )
+    learns = (F.col("error") < 0.5 * F.col("constant_rmsle")).cast("int").alias("learns")
+    return rounded(totals.select("rows", "actual_total", "missing", "negative", "constant_rmsle", learns))
+
+
+@query("q_holdout_boosted", HOLDOUT_CONSTANT_SQL.format(first=6))
+def holdout_boosted(spark, sf_dir):
+    """Every hold-out row is scored once, by a model that has not seen its week, on demand that can be learned."""
+    known = fx_tables.planted_sales(spark, sf_dir)
+    scored = plan.holdout_boosted(known, fx_tables.brands(spark, sf_dir), PUBLISHED, tune_folds=FOLDS)
+    return holdout_contract(scored, known, 6)
+
+
+@query("q_holdout_stacked", HOLDOUT_CONSTANT_SQL.format(first=3))
+def holdout_stacked(spark, sf_dir):
+    """The same with group means as inputs, out of fold for the training rows."""
+    known = fx_tables.planted_sales(spark, sf_dir)
+    return holdout_contract(plan.holdout_stacked(known, PUBLISHED, tune_folds=FOLDS), known, 3)
 
 
 @query(

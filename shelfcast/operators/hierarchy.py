@@ -9,7 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfcast.functions.scalars import known, log_demand
+from shelfcast.functions.scalars import hash_bucket, known, log_demand
 from shelfcast.operators.filters import fill_from
 from shelfcast.operators.features import DEFAULT_PRODUCT_MEAN
 from shelfcast.operators.skew import lookup_join
@@ -193,15 +193,58 @@ def tier_features(rows: DataFrame, sales: DataFrame, default: float = DEFAULT_PR
     return fill_from(scaled, ("pca", "pr"), "p").fillna({"p": default})
 
 
+def out_of_fold_features(
+    rows: DataFrame,
+    folds: int = 5,
+    default: float = DEFAULT_PRODUCT_MEAN,
+    key: str = "id",
+    hot: Mapping[tuple[str, ...], DataFrame] | None = None,
+) -> DataFrame:
+    """``tier_features`` for the rows that the means come from: no row's own fold is in its means.
+
+    Sums and counts per group and fold come from one pass over the rows. A group's table row holds its totals and those
+    of its folds, so a row's mean is total minus own fold, and one join per group answers all folds. A group that only
+    the row's own fold has is unknown, as it would be for a row to predict.
+    """
+    tiers = (PCA, PR, P)
+    finest = list(dict.fromkeys(k for t in tiers for k in t.keys))
+    value = log_demand(F.col("demand"))
+    folded = rows.withColumn("__fold", (hash_bucket(F.col(key)) % folds).cast("int"))
+    complete = folded.where(reduce(and_, [F.col(k).isNotNull() for k in finest]))
+    base = complete.groupBy(*finest, "__fold").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    for tier in tiers:
+        parts = base.groupBy(*tier.keys, "__fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        part = F.struct("__fold", F.struct("s", "n"))
+        table = parts.groupBy(*tier.keys).agg(
+            F.sum("s").alias("__s"), F.sum("n").alias("__n"), F.map_from_entries(F.collect_list(part)).alias("__parts")
+        )
+        own = F.try_element_at("__parts", F.col("__fold"))
+        others = F.when(F.col("__n") > own["n"], (F.col("__s") - own["s"]) / (F.col("__n") - own["n"]))
+        scale, offset = TIER_INPUTS[tier.name]
+        folded = lookup_join(folded, table, tier.keys, hot)
+        folded = folded.withColumn(tier.name, F.exp(others) * scale + offset).drop("__s", "__n", "__parts")
+    return fill_from(folded.drop("__fold"), ("pca", "pr"), "p").fillna({"p": default})
+
+
+def early_means(sales: DataFrame, hot: Mapping[tuple[str, ...], DataFrame] | None = None) -> DataFrame:
+    """The early scaled means per product, agency and client, with that of product and agency and the overall median.
+
+    Both means are rolled up from one table of sums and counts.
+    """
+    value = log_demand(F.col("demand"))
+    keys, coarse = ("product_id", "agency_id", "client_id"), ("product_id", "agency_id")
+    complete = sales.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    base = complete.groupBy(*keys).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    # Scale and offset of the early forecast.
+    om = base.groupBy(*coarse).agg((F.exp(F.sum("s") / F.sum("n")) * 0.57928).alias("om"))
+    apm = base.select(*keys, (F.exp(F.col("s") / F.col("n")) - 0.91).alias("apm"))
+    overall = global_level(sales, Fallback("median")).scalar()
+    return lookup_join(apm, om, coarse, hot).withColumn("overall", overall)
+
+
 def pair_returns(sales: DataFrame) -> DataFrame:
     """Typical returned units of a product-client pair, over its rows with returns."""
     returned = sales.where(F.col("return_units") > 0)
     return returned.groupBy("product_id", "client_id").agg(
         F.expm1(F.avg(F.log1p("return_units"))).alias("pair_returns")
     )
-
-
-def scaled_means(sales: DataFrame, keys: Sequence[str], name: str, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
-    """Geometric mean of ``demand + 1`` per group, scaled and shifted."""
-    level = F.exp(F.avg(log_demand(F.col("demand"))))
-    return sales.groupBy(*keys).agg((level * scale + offset).alias(name))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfcast.functions.scalars import log_target
 from shelfcast.operators.ensemble import SUBMISSIONS, ensemble
 from shelfcast.operators.evaluate import rmsle
 from shelfcast.operators.features import FEATURE_KEYS, FeatureTables, build_features, model_table
@@ -16,12 +17,18 @@ from shelfcast.operators.hierarchy import (
     HIER2,
     HIER3,
     HOLDOUT,
+    PCA,
+    PR,
     TIERS,
     Hierarchy,
+    P,
+    out_of_fold_features,
     predict_hierarchies,
+    tier_features,
 )
 from shelfcast.operators.models import (
     LATEST_INPUTS,
+    STACKED_INPUTS,
     BoostParams,
     CvResult,
     assemble,
@@ -155,6 +162,28 @@ def holdout_boosted(
     return predict_demand(model, rows).select("id", "demand", "boosted")
 
 
+def stacked_matrices(history: DataFrame, rows: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Assembled training and scoring rows with group means as inputs; training rows get those of the other folds."""
+    hot = find_hot_keys(history, [t.keys for t in (PCA, PR, P)])
+    train = out_of_fold_features(history, folds, hot=hot).withColumn("target", log_target(F.col("demand")))
+    ready = cut_lineage(assemble(train, STACKED_INPUTS).select("id", "features", "target"))
+    return ready, assemble(tier_features(rows, history), STACKED_INPUTS)
+
+
+def holdout_stacked(
+    sales: DataFrame,
+    params: BoostParams = BoostParams(),
+    week: int = 9,
+    folds: int = 5,
+    tune_folds: int | None = None,
+) -> DataFrame:
+    """Boosted predictions from group means beside the actual demand of the hold-out week."""
+    history, actual = split_holdout(demand_between(sales), week)
+    matrix, rows = stacked_matrices(history, actual, folds)
+    model = refit(matrix, params, cv_rounds(matrix, params, tune_folds)) if tune_folds else fit_boosted(matrix, params)
+    return predict_demand(model, rows).select("id", "demand", "boosted")
+
+
 def holdout_scores(predicted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Log error and totals per prediction column, from one pass."""
     long = predicted.unpivot(["id", "demand"], list(columns), "model", "prediction")
