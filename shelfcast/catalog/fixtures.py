@@ -61,8 +61,17 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known weeks with a demand that follows the route and the agency, and a little chance, so that models can learn it."""
+    return planted(sales(spark, sf_dir))
+
+
+def planted(lines: DataFrame) -> DataFrame:
     demand = F.col("demand") % 5 + 12 * (F.col("route_id") % 4) + F.when(F.col("agency_id") >= 6, 8).otherwise(0)
-    return sales(spark, sf_dir).withColumn("demand", demand.cast("int"))
+    return lines.withColumn("demand", demand.cast("int"))
+
+
+def planted_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the requests turn out to be where demand is planted."""
+    return planted(sales_all(spark, sf_dir).where(F.col("week") >= 10)).select("id", F.col("demand").alias("actual"))
 
 
 def warm_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +198,11 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), C
                 THEN CAST(floor(l_quantity * l_discount * 10) AS INT) ELSE 0 END, 0) AS demand
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "sales": (("sales_all",), "SELECT * FROM sales_all WHERE week <= 9"),
-    "planted_sales": (("sales",), """
+    "planted_all": (("sales_all",), """
 SELECT * REPLACE (CAST(demand % 5 + 12 * (route_id % 4) + CASE WHEN agency_id >= 6 THEN 8 ELSE 0 END AS INT) AS demand)
-FROM sales"""),
+FROM sales_all"""),
+    "planted_sales": (("planted_all",), "SELECT * FROM planted_all WHERE week <= 9"),
+    "planted_outcomes": (("planted_all",), "SELECT id, demand AS actual FROM planted_all WHERE week >= 10"),
     "forecast_requests": (("sales_all",), """
 SELECT id, week, agency_id, channel_id, route_id, client_id, product_id FROM sales_all WHERE week >= 10"""),
     "clients": ((), """

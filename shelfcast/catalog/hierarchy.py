@@ -57,13 +57,20 @@ def tier_global(spark, sf_dir):
 
 
 ALL_TIERS = ("pca", "pcr", "pr", "pa", "p", "c")
-ATTACHED_SQL = (
-    fx("sales", "forecast_requests")
-    + ", "
-    + ",\n".join(tier_sql(n) for n in ALL_TIERS)
-    + f",\nattached AS (SELECT * FROM {attach_sql(ALL_TIERS, 'forecast_requests')}),\n"
-    + "g AS (SELECT avg(demand) - 0.9 AS level FROM sales)\n"
-)
+
+
+def attached_sql(tables: str, source: str = "sales") -> str:
+    """``tables`` and the requests with the group means of ``source``; the overall level is in ``g``."""
+    return (
+        tables
+        + ", "
+        + ",\n".join(tier_sql(n, source=source) for n in ALL_TIERS)
+        + f",\nattached AS (SELECT * FROM {attach_sql(ALL_TIERS, 'forecast_requests')}),\n"
+        + f"g AS (SELECT avg(demand) - 0.9 AS level FROM {source})\n"
+    )
+
+
+ATTACHED_SQL = attached_sql(fx("sales", "forecast_requests"))
 HP1 = "coalesce(exp(pca) * 0.70 + 0.7, exp(pr) * 0.76 + 0.1, exp(p) * 0.76 + 0.25, level)"
 HP2 = "coalesce(exp(pcr) * 0.70 + 0.7, exp(pa) * 0.75 + 0.1, exp(p) * 0.76 + 0.25, level)"
 HP3 = """coalesce((exp(pca) - 1) * 0.7173 + (exp(pr) - 1) * 0.1859 + 0.12, (exp(pr) - 1) * 0.741 + 0.192,

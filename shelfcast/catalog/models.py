@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import fixtures as fx_tables
 from shelfcast.catalog.fixtures import fx
-from shelfcast.catalog.hierarchy import ATTACHED_SQL, HP1, HP2, HP3
+from shelfcast.catalog.hierarchy import HP1, HP2, HP3, attached_sql
 from shelfcast.catalog.registry import query, rounded
 from shelfcast.catalog.scans import BUCKET
 from shelfcast.functions.scalars import log_target
-from shelfcast.operators import models as md
+from shelfcast.operators import models as md, trees
+from shelfcast.operators.ensemble import SUBMISSIONS
 from shelfcast.operators.features import build_features
 from shelfcast.operators.filters import demand_between
 from shelfcast.operators.tuning import SearchSpace, random_search
@@ -101,19 +102,53 @@ def index_categories(spark, sf_dir):
 
 @query(
     "q_assemble",
-    fx("forecast_requests", "brands") + """SELECT id, CAST(week AS DOUBLE) AS f0, CAST(agency_id AS DOUBLE) AS f1,
-       CAST(route_id AS DOUBLE) AS f2, CAST(product_id AS DOUBLE) AS f3, CAST(client_id AS DOUBLE) AS f4,
-       CASE WHEN channel_id = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f5,
-       CASE WHEN channel_id = 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f6 FROM forecast_requests""",
+    fx("forecast_requests") + """SELECT id, CAST(week AS DOUBLE) AS f0, CAST(agency_id AS DOUBLE) AS f1,
+       CAST(route_id AS DOUBLE) AS f2, CAST(product_id AS DOUBLE) AS f3, CAST(client_id AS DOUBLE) AS f4, """
+    + ", ".join(f"CAST(channel_id = {c} AS INT)::DOUBLE AS f{5 + c}" for c in range(6))
+    + ", 0::DOUBLE AS f11, CAST(12 AS INT) AS width FROM forecast_requests",
 )
 def assemble(spark, sf_dir):
-    """Numeric ids and one expanded category: positions 0 to 4 and the levels 1 and 5 of the channel."""
+    """Numeric ids and one expanded category: every position of the vector."""
     requests = fx_tables.forecast_requests(spark, sf_dir)
     columns = ["week", "agency_id", "route_id", "product_id", "client_id", "channel_id"]
     values = vector_to_array("features")
     wide = md.fit_assembler(requests, columns, onehot=["channel_id"]).transform(requests).select("id", values.alias("v"))
-    places = [0, 1, 2, 3, 4, 6, 10]
-    return wide.select("id", *[F.col("v")[p].alias(f"f{i}") for i, p in enumerate(places)])
+    return wide.select("id", *[F.get("v", F.lit(i)).alias(f"f{i}") for i in range(12)], F.size("v").alias("width"))
+
+
+ONE_HOT = ("week", "agency_id", "route_id")
+
+
+def positions_sql(tables: str) -> str:
+    """Positions of the ones of each row: a place per value of each category and one for NULL, side by side."""
+    codes = [f"codes_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS code, count(*) OVER () AS size FROM ("
+             f"SELECT {c} FROM sales UNION SELECT {c} FROM forecast_requests))" for c in ONE_HOT]
+    start, places = "0", []
+    for c in ONE_HOT:
+        places.append(f"{start} + codes_{c}.code")
+        start += f" + codes_{c}.size + 1"
+    joins = " ".join(f"JOIN codes_{c} USING ({c})" for c in ONE_HOT)
+    shown = ", ".join(f"CAST({p} AS INT) AS at_{c}" for p, c in zip(places, ONE_HOT))
+    return f"{tables}, {', '.join(codes)}\nSELECT id, {shown}, CAST({start} + 1 AS INT) AS width FROM forecast_requests {joins}"
+
+
+@query("q_onehot", positions_sql(fx("sales", "forecast_requests")))
+def onehot(spark, sf_dir):
+    """All positions of the sparse one-hot matrix; the channel follows as a number."""
+    requests = fx_tables.forecast_requests(spark, sf_dir)
+    _, rows = md.onehot_matrices(fx_tables.sales(spark, sf_dir), requests, ONE_HOT, ["channel_id"])
+    values = vector_to_array("features")
+    ones = F.filter(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.get("v", i) == 1)
+    found = rows.select("id", values.alias("v")).select("id", ones.alias("at"), F.size("v").alias("width"))
+    return found.select("id", *[F.get("at", F.lit(i)).alias(f"at_{c}") for i, c in enumerate(ONE_HOT)], "width")
+
+
+@query("q_onehot_group_mean", AGENCY_SQL)
+def onehot_group_mean(spark, sf_dir):
+    """A tree on one-hot codes that is deep enough isolates every value."""
+    rows = fx_tables.sales(spark, sf_dir).select("id", "agency_id", log_target(F.col("demand")).alias("target"))
+    ready, _ = md.onehot_matrices(rows, rows, ["agency_id"])
+    return per_agency(md.fit_tree(ready, max_depth=12), ready)
 
 
 def full_forecast(spark, sf_dir):
@@ -128,23 +163,35 @@ def full_forecast(spark, sf_dir):
 
 @query(
     "q_gbt_contract",
-    fx("forecast_requests") + """SELECT count(*) AS rows, count(DISTINCT id) AS ids, 0::BIGINT AS missing, 0::BIGINT AS negative,
-       0::BIGINT AS outside FROM forecast_requests""",
+    fx("planted_sales", "planted_outcomes") + """, c AS (
+  SELECT avg(greatest(ln(demand + 1), 0)) AS level FROM planted_sales WHERE week > 5)
+SELECT count(*) AS rows, count(DISTINCT id) AS ids, 0::BIGINT AS missing, 0::BIGINT AS negative, 0::BIGINT AS outside,
+       round(sqrt(avg(pow(ln(actual + 1) - level, 2))), 6) AS constant_rmsle, CAST(1 AS INT) AS learns
+FROM planted_outcomes, c""",
 )
 def gbt_contract(spark, sf_dir):
-    """The whole forecast: one row per request, no missing or negative value, averages between the extremes."""
-    out = full_forecast(spark, sf_dir).predictions
+    """The whole forecast: one row per request, no missing or negative value, averages between the extremes.
+
+    ``learns``: its error is below half of that of the best constant, which SQL computes as well.
+    """
+    known = fx_tables.planted_sales(spark, sf_dir).where(F.col("week") > 5)
+    level = known.agg(F.avg(log_target(F.col("demand"))).alias("level")).scalar()
+    out = full_forecast(spark, sf_dir).predictions.join(fx_tables.planted_outcomes(spark, sf_dir), "id", "left")
     slack = F.lit(1e-9)
     outside = (F.col("average_x123") < F.col("min_prediction") - slack) | (
         F.col("average_x123") > F.col("max_prediction") + slack
     )
-    return out.agg(
+    error = lambda p: F.sqrt(F.avg(F.pow(F.log1p("actual") - p, 2)))
+    totals = out.withColumn("level", level).agg(
         F.count("*").alias("rows"),
         F.count_distinct("id").alias("ids"),
         F.count_if(F.col("boosted").isNull()).alias("missing"),
         F.count_if(F.col("boosted") < 0).alias("negative"),
         F.count_if(outside).alias("outside"),
+        error(F.col("level")).alias("constant_rmsle"),
+        error(F.log1p("boosted")).alias("error"),
     )
+    return rounded(totals.withColumn("learns", (F.col("error") < 0.5 * F.col("constant_rmsle")).cast("int")).drop("error"))
 
 
 BACKOFF_FILES = ("hier1", "hier2", "hier3", "hier12", "hier123")
@@ -152,7 +199,7 @@ BACKOFF_FILES = ("hier1", "hier2", "hier3", "hier12", "hier123")
 
 def written_forecast(spark, sf_dir):
     """The forecast from stored features, and all its prediction files, read again."""
-    sales, brands = fx_tables.warm_sales(spark, sf_dir), fx_tables.brands(spark, sf_dir)
+    sales, brands = fx_tables.planted_sales(spark, sf_dir), fx_tables.brands(spark, sf_dir)
     kept = store.save_feature_set(build_features(demand_between(sales), brands), fresh_folder(spark, "features"))
     result = plan.forecast(
         sales, fx_tables.forecast_requests(spark, sf_dir), brands, PUBLISHED, tune_folds=FOLDS,
@@ -162,24 +209,64 @@ def written_forecast(spark, sf_dir):
     return result, spark.read.schema("id STRING, demand DOUBLE, model STRING").option("header", True).csv(path)
 
 
+MIXED_FILES = tuple(m for m in SUBMISSIONS if m not in BACKOFF_FILES and m != "boosted")
+
+
 @query(
     "q_forecast_files",
-    ATTACHED_SQL + f""", hp AS (SELECT id, {HP1} AS hier1, {HP2} AS hier2, {HP3} AS hier3 FROM attached, g),
+    attached_sql(fx("planted_sales", "forecast_requests"), "planted_sales") + f""",
+hp AS (SELECT id, {HP1} AS hier1, {HP2} AS hier2, {HP3} AS hier3 FROM attached, g),
 wide AS (SELECT *, (hier1 + hier2) / 2 AS hier12, (hier1 + hier2 + hier3) / 3 AS hier123 FROM hp)
-SELECT id, model, round(demand, 6) AS demand FROM wide UNPIVOT (demand FOR model IN ({', '.join(BACKOFF_FILES)}))""",
+SELECT id, model, round(demand, 6) AS demand, 0::DOUBLE AS deviation
+FROM wide UNPIVOT (demand FOR model IN ({', '.join(BACKOFF_FILES)}))
+UNION ALL SELECT id, model, NULL, 0::DOUBLE
+FROM forecast_requests, (SELECT unnest([{', '.join(f"'{m}'" for m in ('boosted', *MIXED_FILES))}]) AS model)""",
 )
 def forecast_files(spark, sf_dir):
-    """From stored features to all prediction files; those that SQL can compute are compared, a test has the others."""
+    """From stored features to all thirteen prediction files.
+
+    The back-off files are compared by value. Of the others, ``deviation`` is the distance from what the boosted and
+    back-off files of the same request give; the boosted file's is 0 where its demand is a number of 0 or more.
+    """
     _, files = written_forecast(spark, sf_dir)
-    return rounded(files.where(F.col("model").isin(*BACKOFF_FILES)))
+    members = F.map_from_entries(F.collect_list(F.when(F.col("model").isin("boosted", "hier1", "hier2", "hier3"), F.struct("model", "demand"))))
+    parts = files.groupBy("id").agg(members.alias("m"))
+    x, h1, h2, h3 = (F.col("m")[c] for c in ("boosted", "hier1", "hier2", "hier3"))
+    whole, low, high = x + h1 + h2 + h3, F.least(x, h1, h2, h3), F.greatest(x, h1, h2, h3)
+    expected = {
+        "boosted": F.greatest(x, F.lit(0.0)), "boosted_hier1": (x + h1) / 2, "boosted_hier2": (x + h2) / 2,
+        "boosted_hier3": (x + h3) / 2, "boosted_hier12": (x + h1 + h2) / 3, "boosted_hier123": whole / 4,
+        "minus_low": (whole - low) / 3, "minus_high": (whole - high) / 3,
+    }
+    wanted = F.coalesce(*[F.when(F.col("model") == m, v) for m, v in expected.items()])
+    deviation = F.when(F.col("model").isin(*BACKOFF_FILES), F.lit(0.0)).otherwise(F.abs(F.col("demand") - wanted))
+    shown = F.when(F.col("model").isin(*BACKOFF_FILES), F.col("demand"))
+    return rounded(files.join(parts, "id").select("id", "model", shown.alias("demand"), F.round(deviation, 6).alias("deviation")))
 
 
-@query("q_importance_contract")
+@query(
+    "q_importance_contract",
+    f"""SELECT {len(md.LATEST_INPUTS)}::BIGINT AS inputs, 1::DOUBLE AS total, {len(md.LATEST_INPUTS)}::BIGINT AS names,
+       CAST(1 AS INT) AS agrees, CAST(1 AS INT) AS planted_lead""",
+)
 def importance_contract(spark, sf_dir):
-    table = md.importance(spark, full_forecast(spark, sf_dir).model, md.LATEST_INPUTS)
+    """Importances from the node table: they are shares, equal the model's own, and those of the planted effect lead.
+
+    Demand is planted by route and agency, so the route and its lags, those of product and route and of the pair, and
+    the agency hold more than half; a model that has learned nothing has no gains at all.
+    """
+    model = full_forecast(spark, sf_dir).model
+    nodes = cut_lineage(trees.tree_nodes(spark, model, md.LATEST_INPUTS))
+    own = md.importance(spark, model, md.LATEST_INPUTS).withColumnRenamed("importance", "own")
+    table = trees.importance_of(nodes, md.LATEST_INPUTS).join(own, "feature")
+    by_route = F.col("feature").rlike("^(route_id|agency_id|r[0-9]_.*|pr[0-9]_.*|pcw[0-9]_.*)$")
     return rounded(
         table.agg(
-            F.count("*").alias("inputs"), F.sum("importance").alias("total"), F.count_distinct("feature").alias("names")
+            F.count("*").alias("inputs"),
+            F.sum("importance").alias("total"),
+            F.count_distinct("feature").alias("names"),
+            (F.max(F.abs(F.col("importance") - F.col("own"))) < 1e-9).cast("int").alias("agrees"),
+            (F.sum(F.when(by_route, F.col("importance"))) > 0.5).cast("int").alias("planted_lead"),
         )
     )
 
@@ -222,6 +309,13 @@ def holdout_stacked(spark, sf_dir):
     return holdout_contract(plan.holdout_stacked(known, PUBLISHED, tune_folds=FOLDS), known, 3)
 
 
+@query("q_holdout_forest", HOLDOUT_CONSTANT_SQL.format(first=6))
+def holdout_forest(spark, sf_dir):
+    """The published forest: ten trees that try three inputs a split, on rows drawn with replacement."""
+    known = fx_tables.planted_sales(spark, sf_dir)
+    return holdout_contract(plan.holdout_forest(known, fx_tables.brands(spark, sf_dir)), known, 6)
+
+
 @query(
     "q_search_contract",
     fx("sales") + """SELECT 3::BIGINT AS trials, 3::BIGINT AS inside, CAST(1 AS INT) AS best_is_lowest, count(*) AS rows

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
@@ -77,6 +77,39 @@ def fit_assembler(train: DataFrame, columns: Sequence[str], onehot: Sequence[str
     return PipelineModel(stages)
 
 
+#: One-hot positions beyond which categories are hashed.
+ONEHOT_WIDTH = 1 << 18
+
+
+def onehot_matrices(
+    train: DataFrame, rows: DataFrame, categories: Sequence[str], numbers: Sequence[str] = (), width: int = ONEHOT_WIDTH
+) -> tuple[DataFrame, DataFrame]:
+    """Sparse ``features`` with a position per value of each category, then the numbers, for both tables alike.
+
+    Positions follow the values' order; a category's last position is for NULL. Codes are joined from tables, so
+    vocabularies never visit the driver. Where all categories have more than ``width`` values, their values are hashed
+    into that many positions instead, without a vocabulary.
+    """
+    both = train.select(*categories).unionByName(rows.select(*categories))
+    sizes = both.agg(*[F.count_distinct(c).alias(c) for c in categories]).first().asDict()
+    if sum(sizes.values()) > width:
+        hasher = FeatureHasher(
+            inputCols=list(categories), outputCol="hashed", numFeatures=width, categoricalCols=list(categories)
+        )
+        stages = [hasher, VectorAssembler(inputCols=["hashed", *numbers], outputCol="features", handleInvalid="error")]
+        return tuple(PipelineModel(stages).transform(df).drop("hashed") for df in (train, rows))
+    coded = index_categories(train, rows, categories)
+    codes = [f"{c}_code" for c in categories]
+    coded = [df.withColumns({f"{c}_code": F.coalesce(f"{c}_code", F.lit(sizes[c])).cast("double") for c in categories}) for df in coded]
+    ranges = train.sparkSession.createDataFrame(
+        [tuple(float(max(sizes[c] - 1, 0)) for c in categories)], ", ".join(f"{c} DOUBLE" for c in codes)
+    )
+    made = [f"{c}_onehot" for c in categories]
+    encoder = OneHotEncoder(inputCols=codes, outputCols=made, handleInvalid="keep", dropLast=False).fit(ranges)
+    whole = VectorAssembler(inputCols=[*made, *numbers], outputCol="features", handleInvalid="error")
+    return tuple(PipelineModel([encoder, whole]).transform(df).drop(*codes, *made) for df in coded)
+
+
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Feature vector of numeric columns, in the given order."""
     return fit_assembler(df, columns).transform(df)

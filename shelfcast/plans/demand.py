@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfcast.functions.scalars import log_target
 from shelfcast.operators.ensemble import SUBMISSIONS, ensemble
 from shelfcast.operators.evaluate import rmsle
-from shelfcast.operators.features import FEATURE_KEYS, FeatureTables, build_features, model_table
+from shelfcast.operators.features import DEFAULT_PRODUCT_MEAN, FEATURE_KEYS, FeatureTables, build_features, model_table
 from shelfcast.operators.filters import demand_between, hash_sample, week_range
 from shelfcast.operators.hierarchy import (
     HIER1,
@@ -34,6 +34,7 @@ from shelfcast.operators.models import (
     assemble,
     cv_rounds,
     fit_boosted,
+    fit_forest,
     predict_demand,
     refit,
 )
@@ -162,12 +163,25 @@ def holdout_boosted(
     return predict_demand(model, rows).select("id", "demand", "boosted")
 
 
+def holdout_forest(sales: DataFrame, brands: DataFrame, week: int = 9, n_trees: int = 10, mtry: int = 3, max_depth: int = 8) -> DataFrame:
+    """Forest predictions beside the actual demand of the hold-out week, with the inputs of the boosted model."""
+    history, actual = split_holdout(demand_between(sales), week)
+    features = build_features(history, brands)
+    matrix = training_matrix(history, features, week - 4, week - 1)
+    model = fit_forest(matrix, n_trees, mtry, max_depth=max_depth).setPredictionCol("log_prediction")
+    rows = assemble(model_table(actual, features, last_known_week=week - 1), LATEST_INPUTS)
+    return predict_demand(model, rows).select("id", "demand", "boosted")
+
+
 def stacked_matrices(history: DataFrame, rows: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:
     """Assembled training and scoring rows with group means as inputs; training rows get those of the other folds."""
     hot = find_hot_keys(history, [t.keys for t in (PCA, PR, P)])
-    train = out_of_fold_features(history, folds, hot=hot).withColumn("target", log_target(F.col("demand")))
+    train = out_of_fold_features(history, folds, hot=hot).fillna(DEFAULT_PRODUCT_MEAN, subset=["pca", "pr"])
+    train = train.withColumn("target", log_target(F.col("demand")))
     ready = cut_lineage(assemble(train, STACKED_INPUTS).select("id", "features", "target"))
-    return ready, assemble(tier_features(rows, history), STACKED_INPUTS)
+    # A product that the history does not know has no mean to fill the finer ones from.
+    known = tier_features(rows, history).fillna(DEFAULT_PRODUCT_MEAN, subset=["pca", "pr"])
+    return ready, assemble(known, STACKED_INPUTS)
 
 
 def holdout_stacked(

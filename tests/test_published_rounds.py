@@ -10,7 +10,7 @@ def test_rounds_from_folds_and_every_file(spark, sf_dir):
     result, files = written_forecast(spark, sf_dir)
     assert PUBLISHED.rounds == 500 and result.tuning is not None
     assert result.model.getNumTrees == result.tuning.best_round
-    actual = fixtures.sales_all(spark, sf_dir).select("id", F.col("demand").alias("actual"))
+    actual = fixtures.planted_outcomes(spark, sf_dir)
     error = F.sqrt(F.avg(F.pow(F.log1p("demand") - F.log1p("actual"), 2)))
     by_model = files.join(actual, "id").groupBy("model").agg(
         F.count("demand").alias("rows"), F.count_distinct("id").alias("ids"), F.min("demand").alias("least"), error.alias("error")
