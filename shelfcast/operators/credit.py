@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
@@ -234,7 +235,7 @@ def fit_logit(
     train: DataFrame,
     terms: Sequence[str] = LOGIT_TERMS,
     label: str = "target_flag",
-    max_iter: int = 50,
+    max_iter: int = 25,
     tol: float = 1e-8,
     levels: Mapping[str, Sequence[str]] | None = None,
     written: bool = False,
@@ -263,34 +264,93 @@ class Move:
     aic: float
 
 
+def weighted_products(rows: DataFrame, width: int, label: str, features: str = "__all", p: str = "__p") -> np.ndarray:
+    """Sums of ``w * a * b`` over all pairs of the inputs, a constant and the working response, from one pass.
+
+    ``w`` and the working response are those of one step of the logistic fit that gave the probability ``p``. The
+    sums are aggregates, combined in the tasks, so one row of numbers reaches the driver.
+    """
+    p_, y = F.col(p), F.col(label)
+    w = F.greatest(p_ * (1 - p_), F.lit(1e-10))
+    values = vector_to_array(features)
+    ready = rows.select(
+        w.alias("w"),
+        *[values[i].alias(f"x{i}") for i in range(width)],
+        F.lit(1.0).alias(f"x{width}"),
+        (F.log(F.greatest(p_, F.lit(1e-10)) / F.greatest(1 - p_, F.lit(1e-10))) + (y - p_) / w).alias(f"x{width + 1}"),
+    )
+    n = width + 2
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = ready.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((n, n))
+    for (i, j), value in zip(pairs, sums):
+        out[i, j] = out[j, i] = value
+    return out
+
+
+def step_errors(products: np.ndarray, subsets: Sequence[Sequence[int]]) -> list[float]:
+    """Weighted squared error of the working response for each subset of inputs (the constant is always in)."""
+    constant, z = len(products) - 2, len(products) - 1
+    out = []
+    for subset in subsets:
+        own = [*subset, constant]
+        moment = products[own, z]
+        out.append(float(products[z, z] - moment @ np.linalg.pinv(products[np.ix_(own, own)], hermitian=True) @ moment))
+    return out
+
+
 def stepwise_aic(
     train: DataFrame,
     terms: Sequence[str] = LOGIT_TERMS,
     label: str = "target_flag",
     max_steps: int = 100,
     workers: int = 4,
+    refits: int | None = 2,
 ) -> tuple[Logit, list[Move]]:
     """Drop or re-add one term at a time while that lowers the AIC, from the full model on.
 
-    A category enters or leaves whole. Each candidate is one distributed fit; only AIC values reach
-    the driver. The columns of all terms are written once, for every fit to read.
+    A category enters or leaves whole. The cross products at the current model, one pass over the rows, give every
+    move's AIC up to one step of its fit; the best ``refits`` moves are fitted exactly, and the best of them is taken.
+    Where none lowers the AIC, all other moves are fitted as well before the search ends, so its end point is one that
+    no exact move improves. ``refits=None`` fits every move of every step. Each fit is distributed; only AIC values and
+    the products reach the driver. The columns of all terms are written once, for every fit to read.
     """
-    train = cut_lineage(train.select(*terms, label))
+    # Many short passes follow: few files where there are few rows, one per partition's worth where there are many.
+    train = cut_lineage(train.select(*terms, label).hint("rebalance"))
     levels = category_levels(train, terms)
+    whole = design(terms, levels, "__all")
+    columns = whole.stages[-1].getInputCols()
+    made = {t: set(design([t], levels).stages[-1].getInputCols()) for t in terms}
+    places = {t: [i for i, c in enumerate(columns) if c in made[t]] for t in terms}
+
+    def fit_all(options: Sequence[tuple]) -> list[Logit]:
+        return in_parallel(
+            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels, written=True) for o in options], workers
+        )
+
     current = fit_logit(train, terms, label, levels=levels, written=True)
     moves = [Move(0, "start", "", current.aic)]
     while len(moves) <= max_steps:
         kept = current.terms
         options = [("drop", t, tuple(k for k in kept if k != t)) for t in kept if len(kept) > 1]
         options += [("add", t, (*kept, t)) for t in terms if t not in kept]
-        fits = in_parallel(
-            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels, written=True) for o in options], workers
-        )
-        (action, term, _), best = min(zip(options, fits), key=lambda pair: pair[1].aic)
-        if best.aic >= current.aic - 1e-7:
+        if refits is not None:
+            scored = current.score(whole.transform(train).select(*train.columns, "__all"), "__p")
+            products = weighted_products(scored, len(columns), label)
+            subsets = [[i for t in option[2] for i in places[t]] for option in options]
+            near = [e + 2 * len(s) for e, s in zip(step_errors(products, subsets), subsets)]
+            options = [options[i] for i in np.argsort(near, kind="stable")]
+        first = len(options) if refits is None else refits
+        chosen = None
+        for part in (options[:first], options[first:]):
+            if chosen is None and part:
+                move, model = min(zip(part, fit_all(part)), key=lambda pair: pair[1].aic)
+                if model.aic < current.aic - 1e-7:
+                    chosen = move, model
+        if chosen is None:
             break
-        current = best
-        moves.append(Move(len(moves), action, term, best.aic))
+        (action, term, _), current = chosen
+        moves.append(Move(len(moves), action, term, current.aic))
     return current, moves
 
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for; ``conf`` overrides.
@@ -42,8 +47,36 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below the shared folder; nothing is created or removed."""
-    return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, or the current ``scratch`` folder; nothing is created or removed."""
+    return os.path.join(_SCRATCH.get() or shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that are written inside; it is removed at the end, by way of Spark's file system."""
+    path = fresh_folder(spark, "scratch")
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(spark: SparkSession, purpose: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written; all tables that it wrote on the way are removed.
+
+    Shuffle files of plans that nobody holds any more go when the driver collects its memory, so it is asked to.
+    """
+    path = fresh_folder(spark, purpose)
+    with scratch(spark):
+        made = build()
+        made.write.parquet(path)
+        schema = made.schema
+        del made
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
