@@ -6,14 +6,17 @@ Each stage gets what its predecessor kept, written as Parquet and read again, an
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.llm.common import materialize, table
+from shelfcast.llm.common import table
 from shelfcast.llm.decontaminate import decontaminate
 from shelfcast.llm.linededup import dedup_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.neardup import keep_first
 from shelfcast.llm.quality_gam import fit_quality, keep_quality
+from shelfcast.session import settle
 
 #: Documents below this quality score go.
 MIN_QUALITY = 0.3
@@ -63,5 +66,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settle(spark, name.replace(" ", "-"), partial(stage, spark, docs, sf_dir))
     return docs

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from shelfcast.llm.common import identified, map_rows, map_text, materialize, packed, unused
+from shelfcast.session import settle
 
 MIN_WORDS = 8
 
@@ -251,7 +252,7 @@ def dedup_lines(
     ``emptied`` marks a document that had a word before and has none left. Also returns the names of the new columns.
     """
     names = {n: unused(n, docs.columns) for n in ("n_lines", "n_dropped", "emptied")}
-    drops = materialize(dropped_lines(docs, text, doc_id, min_words, min_exact), "drops")
+    drops = settle(docs.sparkSession, "drops", lambda: dropped_lines(docs, text, doc_id, min_words, min_exact))
     joined = packed(docs, text, doc_id, ["_held"]).join(drops.hint("merge"), ["_r1", "_r2"], "left")
     # A null text has no bytes to slice by.
     joined = joined.withColumn("_null", F.col("_z").isNull())

@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
-from shelfcast.llm.common import map_text, materialize, unused
+from shelfcast.llm.common import identified, map_text, materialize, unused
 from shelfcast.llm.graph import components
+from shelfcast.session import settle
 
 SKETCH = 64
 LISTED = 20
@@ -248,7 +249,14 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` per document; linked documents share the smallest id among them."""
+    """``(id, n_shingles, component_id, kept)`` per document; linked documents share the smallest id among them.
+
+    The result is written; the tables made on the way are removed.
+    """
+    return settle(docs.sparkSession, "near-duplicates", lambda: component_marks(docs, width, percent, text, doc_id))
+
+
+def component_marks(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
     drawn = materialize(sketches(docs, width, text, doc_id), "sketches")
     classes = drawn.where("n > 0").groupBy("class").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
@@ -274,8 +282,20 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     Of rows that repeat the kept id with the kept text, one stays.
     """
     marks = near_duplicates(docs, width, percent, text, doc_id)
-    chosen = marks.where("kept").select("id", F.lit(True).alias("found")).distinct()
-    flag, key = unused("found", docs.columns), unused("kept_id", docs.columns)
-    chosen = materialize(chosen.select(F.col("id").alias(key), F.col("found").alias(flag)), "kept")
-    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen[key])).select(*docs.columns)
-    return kept.dropDuplicates([doc_id, text])
+    again, r1, r2 = (unused(n, docs.columns) for n in ("again", "r1", "r2"))
+
+    def odd_rows() -> DataFrame:
+        """96 bits that name a row by id and text, for rows to drop and (``again``) for kept ones that occur repeatedly."""
+        chosen = marks.where("kept").select(F.col("id").alias("_kept"), F.lit(True).alias("_found")).distinct()
+        rows = identified(docs, text, doc_id).groupBy("_r1", "_r2", "_id").agg(F.count("*").alias("n"))
+        rows = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_kept")), "left")
+        odd = rows.where("_found IS NULL OR n > 1")
+        return odd.select(F.col("_r1").alias(r1), F.col("_r2").alias(r2), F.col("_found").isNotNull().alias(again))
+
+    # Most rows are neither, so their texts stay where they are as long as this table is small enough to broadcast.
+    odd = settle(docs.sparkSession, "odd-rows", odd_rows)
+    body = docs[text].cast("string")
+    named = docs.withColumns({r1: F.xxhash64(docs[doc_id], body), r2: F.hash(body, F.lit(7), docs[doc_id])})
+    single = named.join(odd, [r1, r2], "left_anti")
+    repeated = named.join(odd.where(F.col(again)), [r1, r2], "left_semi").dropDuplicates([r1, r2])
+    return single.unionByName(repeated).select(*docs.columns)

@@ -50,3 +50,19 @@ def test_nulls_ties_repeats_and_clashing_columns(make_docs, spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6]
     empty = make_docs([])
     assert near_duplicates(empty).count() == 0 and keep_first(empty).count() == 0
+
+
+def test_keep_first_of_repeated_rows(spark, make_docs):
+    """One of the rows that repeat the kept id and text stays; other texts of that id stay as their own groups do."""
+    from pyspark.sql import functions as F
+
+    from shelfcast.llm.neardup import keep_first
+
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long + " more"
+    docs = [(5, long), (5, long), (5, long), (9, near), (7, "short text"), (7, "short text"), (None, "no id"), (3, None), (3, None)]
+    frame = make_docs(docs).withColumns({"r1": F.lit(1), "again": F.lit("x"), "_id": F.lit(2)})
+    out = keep_first(frame)
+    assert out.columns == frame.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted({(5, long), (7, "short text"), (None, "no id"), (3, None)}, key=str)
