@@ -21,6 +21,7 @@ rows are exact copies; a null id counts as larger than any other.
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -42,6 +43,8 @@ SHARED = 5
 #: The estimate from 64 values may be too low by five standard deviations.
 MARGIN = 0.25
 STAR_ROUNDS = 2
+#: Each pair stands once, the smaller set first.
+BY_SIZE = "(na < nb OR na = nb AND a < b)"
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,7 +218,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             left = rest.where("NOT long").selectExpr("value", "class AS a", "n AS na", "root AS ra")
             right = rest.where("NOT long").selectExpr("value", "class AS b", "n AS nb", "root AS rb")
             sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-            short = left.join(right, "value").where(f"a < b AND ra != rb AND {sized}").drop("value")
+            short = left.join(right, "value").where(f"{BY_SIZE} AND ra != rb AND {sized}").drop("value")
             dense = rest.where("long").select("class", "root").distinct()
             dense = facts.join(dense, "class").select("class", "root", "set")
             pairs = short.unionByName(prefix_pairs(dense, percent))
@@ -226,24 +229,39 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, na, nb, ra, rb)``: all pairs with different roots that can be similar, from the full sets.
+    """``(a, b, na, nb, ra, rb)``: all pairs with different roots that can be similar, from the full sets; ``na <= nb``.
 
     Elements are ordered from rare to frequent. Similar sets share an element among the first ones of both, and from
-    their first shared element on both must still have enough elements for the overlap that is needed. A near copy
+    their first shared element on both must still have enough elements for the overlap that is needed. For
+    the smaller set of a pair these are the first ninth at 80 percent, for the larger one the first fifth. A near copy
     has its own edits first, so of a large group only those with very few edits meet at all.
+
+    Elements that the same sets hold (a passage that documents share) are one *block*, named by 128 bits of its
+    holders, so a pair meets once per block and not once per element. A block stands in one piece in the order, and
+    its first element is the same in all its sets, so the conditions on that element lose nothing. Sizes are in the join key, in bands
+    by the factor that the threshold allows, so sets of too different sizes never meet.
     """
     items = materialize(sets.select("class", "root", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
-    common = items.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    holders = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"block{k}") for k in (1, 2)]
+    common = items.groupBy("value").agg(F.count("*").alias("f"), *holders).where("f > 1")
     items = items.join(materialize(common, "common-elements"), "value")
-    order = Window.partitionBy("class").orderBy("f", "value")
+    order = Window.partitionBy("class").orderBy("f", "block1", "block2", "value")
     # Elements that no other set has come first; they are not in the join.
     alone = F.col("n") - F.count("*").over(Window.partitionBy("class"))
     items = items.withColumn("at", F.row_number().over(order) - 1 + alone)
-    first = materialize(items.where(100 * F.col("at") <= (100 - percent) * F.col("n")), "prefixes")
-    left = first.selectExpr("value", "class AS a", "n AS na", "root AS ra", "at AS ia")
-    right = first.selectExpr("value", "class AS b", "n AS nb", "root AS rb", "at AS ib")
+    first = items.where(100 * F.col("at") <= (100 - percent) * F.col("n"))
+    first = first.groupBy("class", "root", "n", "block1", "block2").agg(F.min("at").alias("at"))
+    scale = F.log("n") / math.log(100 / percent)
+    first = materialize(first.withColumn("scale", scale), "prefixes")
+    # A partner's size is at most one band up; sizes at the edge of a band count on both sides of it.
+    bands = F.sequence(F.floor(F.col("scale") - 1e-6), F.floor(F.col("scale") + 1 + 1e-6))
+    smaller = first.where((100 + percent) * F.col("at") <= (100 - percent) * F.col("n")).withColumn("band", F.explode(bands))
+    key = ["block1", "block2", "band"]
+    left = smaller.selectExpr(*key, "class AS a", "n AS na", "root AS ra", "at AS ia")
+    right = first.withColumn("band", F.floor("scale")).selectExpr(*key, "class AS b", "n AS nb", "root AS rb", "at AS ib")
     needed = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-    return left.join(right, "value").where(f"a < b AND ra != rb AND {needed}").select("a", "b", "na", "nb", "ra", "rb")
+    met = left.join(right, key).where(f"{BY_SIZE} AND ra != rb AND {needed}")
+    return met.select("a", "b", "na", "nb", "ra", "rb")
 
 
 def near_duplicates(
