@@ -11,7 +11,7 @@ inverted lists. Two sets with similarity 0.8 or more share a listed hash but for
 Pairs come from lists in rounds, never all at once. In a star round each list has one member as its centre, and every
 class is compared with one centre from another component; the next round takes other centres. Where lists still hold several
 components, all pairs between components follow: of short lists as they are, of the dense members of long lists by a
-prefix filter on the full sets in the order of rarity (see ``prefix_pairs``). So no link that could join components is
+prefix filter on the full sets in the order of rarity (see ``prefixes``), again in star rounds first. So no link that could join components is
 left out. A pair must pass the estimate from the union of both sketches (five standard deviations below the
 threshold), then the exact similarity of the full sets decides.
 
@@ -43,6 +43,8 @@ SHARED = 5
 #: The estimate from 64 values may be too low by five standard deviations.
 MARGIN = 0.25
 STAR_ROUNDS = 2
+#: Star rounds over the rare elements of dense sets, before all pairs that are still open.
+PREFIX_ROUNDS = 3
 #: Each pair stands once, the smaller set first.
 BY_SIZE = "(na < nb OR na = nb AND a < b)"
 
@@ -215,33 +217,39 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             pairs = best.selectExpr("class AS a", "n AS na", "root AS ra", "c.class AS b", "c.n AS nb", "c.root AS rb")
         else:
             rest = placed.join(open_lists.select("value"), "value")
-            left = rest.where("NOT long").selectExpr("value", "class AS a", "n AS na", "root AS ra")
-            right = rest.where("NOT long").selectExpr("value", "class AS b", "n AS nb", "root AS rb")
+            dense = facts.join(rest.where("long").select("class").distinct(), "class").select("class", "set")
+            first = prefixes(dense, percent)
+            for j in range(PREFIX_ROUNDS):
+                pairs = materialize(prefix_stars(first.join(roots, "class"), percent, j), "prefix-stars")
+                if pairs.limit(1).count() == 0:
+                    break
+                links = verified(pairs)
+                if links.limit(1).count() == 0:
+                    break
+                roots = merge(roots, links)
+            rest = lists.where("NOT long").join(open_lists.select("value"), "value").join(roots, "class")
+            left = rest.selectExpr("value", "class AS a", "n AS na", "root AS ra")
+            right = rest.selectExpr("value", "class AS b", "n AS nb", "root AS rb")
             sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
             short = left.join(right, "value").where(f"{BY_SIZE} AND ra != rb AND {sized}").drop("value")
-            dense = rest.where("long").select("class", "root").distinct()
-            dense = facts.join(dense, "class").select("class", "root", "set")
-            pairs = short.unionByName(prefix_pairs(dense, percent))
+            pairs = short.unionByName(prefix_pairs(first.join(roots, "class"), percent))
         links = verified(pairs)
         if links.limit(1).count():
             roots = merge(roots, links)
     return roots
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, na, nb, ra, rb)``: all pairs with different roots that can be similar, from the full sets; ``na <= nb``.
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``(class, n, block1, block2, at, scale)``: the first elements of each set, by which all similar sets meet.
 
-    Elements are ordered from rare to frequent. Similar sets share an element among the first ones of both, and from
-    their first shared element on both must still have enough elements for the overlap that is needed. For
-    the smaller set of a pair these are the first ninth at 80 percent, for the larger one the first fifth. A near copy
-    has its own edits first, so of a large group only those with very few edits meet at all.
+    Elements are ordered from rare to frequent. Similar sets share an element among the first ones of both, a fifth of
+    each at 80 percent. A near copy has its own edits first, so of a large group only those with very few edits meet.
 
     Elements that the same sets hold (a passage that documents share) are one *block*, named by 128 bits of its
     holders, so a pair meets once per block and not once per element. A block stands in one piece in the order, and
-    its first element is the same in all its sets, so the conditions on that element lose nothing. Sizes are in the join key, in bands
-    by the factor that the threshold allows, so sets of too different sizes never meet.
+    its first element, at position ``at``, is the same in all its sets. ``scale`` counts the steps of the largest ratio of sizes allowed.
     """
-    items = materialize(sets.select("class", "root", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
+    items = materialize(sets.select("class", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
     holders = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"block{k}") for k in (1, 2)]
     common = items.groupBy("value").agg(F.count("*").alias("f"), *holders).where("f > 1")
     items = items.join(materialize(common, "common-elements"), "value")
@@ -250,17 +258,48 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.count("*").over(Window.partitionBy("class"))
     items = items.withColumn("at", F.row_number().over(order) - 1 + alone)
     first = items.where(100 * F.col("at") <= (100 - percent) * F.col("n"))
-    first = first.groupBy("class", "root", "n", "block1", "block2").agg(F.min("at").alias("at"))
-    scale = F.log("n") / math.log(100 / percent)
-    first = materialize(first.withColumn("scale", scale), "prefixes")
+    first = first.groupBy("class", "n", "block1", "block2").agg(F.min("at").alias("at"))
+    return materialize(first.withColumn("scale", F.log("n") / math.log(100 / percent)), "prefixes")
+
+
+def enough_left(percent: int) -> str:
+    """From their first shared element on, similar sets have enough elements for the overlap that is needed."""
+    return f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+
+
+def prefix_stars(first: DataFrame, percent: int, k: int) -> DataFrame:
+    """``(a, b, na, nb, ra, rb)``: each class with one centre from another component per block and band of sizes.
+
+    Sets that share rare elements mostly are similar, so few rounds leave little open. Bands move by half a
+    step from round to round, which joins neighbouring ones.
+    """
+    key = ["block1", "block2", "band"]
+    placed = first.withColumn("band", F.floor(F.col("scale") + 0.5 * (k % 2)))
+    # The fewer rare elements stand before the shared one, the more typical a set is; later rounds try others like it.
+    rank = F.struct(F.col("at") + F.pmod(F.xxhash64("class", F.lit(k)), F.lit(1 + 4 * k)), F.xxhash64("class", F.lit(k)))
+    centre = F.min_by(F.struct("class", "n", "root", "at"), rank)
+    centres = placed.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), centre.alias("c"))
+    centres = materialize(centres.where("lo != hi").select(*key, "c"), "centres")
+    met = placed.join(centres, key).selectExpr(
+        "class AS a", "n AS na", "root AS ra", "at AS ia", "c.class AS b", "c.n AS nb", "c.root AS rb", "c.at AS ib"
+    )
+    met = met.where(f"ra != rb AND {enough_left(percent)}")
+    return met.select("a", "b", "na", "nb", "ra", "rb").distinct()
+
+
+def prefix_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, na, nb, ra, rb)``: all pairs with different roots that can be similar; ``na <= nb``.
+
+    The first shared element is among the first ninth of the smaller set (at 80 percent). Sizes are in the join key,
+    in bands, so sets of too different sizes never meet.
+    """
     # A partner's size is at most one band up; sizes at the edge of a band count on both sides of it.
     bands = F.sequence(F.floor(F.col("scale") - 1e-6), F.floor(F.col("scale") + 1 + 1e-6))
     smaller = first.where((100 + percent) * F.col("at") <= (100 - percent) * F.col("n")).withColumn("band", F.explode(bands))
     key = ["block1", "block2", "band"]
     left = smaller.selectExpr(*key, "class AS a", "n AS na", "root AS ra", "at AS ia")
     right = first.withColumn("band", F.floor("scale")).selectExpr(*key, "class AS b", "n AS nb", "root AS rb", "at AS ib")
-    needed = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-    met = left.join(right, key).where(f"{BY_SIZE} AND ra != rb AND {needed}")
+    met = left.join(right, key).where(f"{BY_SIZE} AND ra != rb AND {enough_left(percent)}")
     return met.select("a", "b", "na", "nb", "ra", "rb")
 
 

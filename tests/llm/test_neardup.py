@@ -39,6 +39,47 @@ def test_large_groups_of_near_copies(make_docs):
     assert components_of(near_duplicates(make_docs(rows), width=4)) == near_components(rows, 4)
 
 
+def test_large_group_of_much_edited_copies(make_docs, monkeypatch):
+    """Copies that are similar to the least edited ones only; the pairs that stay open do not grow with their square."""
+    from shelfcast.llm import neardup
+
+    rng = random.Random(8)
+    base = rng.choices([f"w{i}" for i in range(900)], k=130)
+    rows = [(i, edited(rng, base, rng.choice((0, 1, 2, 3, 5, 6, 7)))) for i in range(300)]
+    # Half as long as the base: similar to each other, never to the whole.
+    rows += [(400 + i, edited(rng, base[:65], rng.randrange(3))) for i in range(100)]
+    left, pairs = [], neardup.prefix_pairs
+
+    def counted(*args):
+        open_pairs = pairs(*args)
+        left.append(open_pairs.count())
+        return open_pairs
+
+    monkeypatch.setattr(neardup, "prefix_pairs", counted)
+    assert components_of(near_duplicates(make_docs(rows), width=4)) == near_components(rows, 4)
+    assert not left or left[0] < 2 * len(rows)
+
+
+def test_bands_of_sizes_lose_no_pair(make_docs, spark):
+    """Every similar pair of sets is among the pairs by prefixes, also where the sizes are at the edge of a band."""
+    from pyspark.sql import functions as F
+
+    from shelfcast.llm.neardup import prefix_pairs, prefixes
+
+    rng = random.Random(3)
+    pool = rng.sample(range(10**6), 140)
+    sets = {f"c{n}-{i}": sorted(rng.sample(pool[:n + 8], n)) for n in (4, 5, 8, 10, 16, 20, 64, 80, 100, 125) for i in range(6)}
+    frame = spark.createDataFrame(list(sets.items()), "class STRING, set ARRAY<BIGINT>")
+    found = prefix_pairs(prefixes(frame, 80).withColumn("root", F.col("class")), 80).select("a", "b").distinct().collect()
+    found = {frozenset((r["a"], r["b"])) for r in found}
+    names = sorted(sets)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            x, y = set(sets[a]), set(sets[b])
+            if x != y and 100 * len(x & y) >= 80 * len(x | y):
+                assert frozenset((a, b)) in found
+
+
 def test_nulls_ties_repeats_and_clashing_columns(make_docs, spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = make_docs([(7, text), (3, text), (None, text), (5, None), (6, ""), (3, text)])
