@@ -15,7 +15,7 @@ from shelfcast.operators import models as md, trees
 from shelfcast.operators.ensemble import SUBMISSIONS
 from shelfcast.operators.features import build_features
 from shelfcast.operators.filters import demand_between
-from shelfcast.operators.tuning import SearchSpace, random_search
+from shelfcast.operators.tuning import SearchSpace, random_search, read_trials
 from shelfcast.plans import demand as plan
 from shelfcast.session import cut_lineage, fresh_folder
 from shelfcast.sources import store
@@ -85,6 +85,28 @@ def cv_group_mean(spark, sf_dir):
     return rounded(curve)
 
 
+@query(
+    "q_search_ledger",
+    fx("sales") + f""", t AS (SELECT agency_id, greatest(ln(demand + 1), 0) AS y,
+       ({BUCKET.format(key='id')}) % 3 AS fold FROM sales),
+others AS (SELECT f.fold, t.agency_id, avg(y) AS mean FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold
+           GROUP BY f.fold, t.agency_id),
+errors AS (SELECT t.fold, sqrt(avg(pow(y - mean, 2))) AS rmse FROM t JOIN others o
+           ON t.fold = o.fold AND t.agency_id = o.agency_id GROUP BY t.fold)
+SELECT CAST(trial AS INT) AS trial, (SELECT count(*) FROM sales) AS rows, CAST(1 AS INT) AS rounds, round(avg(rmse), 6) AS error
+FROM errors, (SELECT unnest(range(1, 4)) AS trial) GROUP BY trial""",
+)
+def search_ledger(spark, sf_dir):
+    """A search of three trials that goes on from the ledger of a shorter one; each is a group mean, as SQL has it."""
+    matrix = cut_lineage(agency_rows(spark, sf_dir).select("id", "features", "target"))
+    space = SearchSpace((8, 8), (1.0, 1.0), (0.0, 0.0), (1.0, 1.0), (1.0, 1.0), (1, 1))
+    ledger = fresh_folder(spark, "ledger")
+    for trials in (1, 3):
+        random_search(matrix, space, trials, base=ONE_TREE, folds=3, ledger=ledger)
+    found = read_trials(spark, ledger)
+    return rounded(found.select("trial", "rows", F.size("curve").alias("rounds"), F.col("curve")[0].alias("error")))
+
+
 @query(
     "q_index_categories",
     fx("sales", "forecast_requests") + """, v AS (

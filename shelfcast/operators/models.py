@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -189,6 +189,8 @@ class CvResult:
     curve: tuple[float, ...]
     best_round: int
     best_error: float
+    #: Given up as hopeless before early stopping ended it.
+    stopped: bool = False
 
 
 def best_round(curve: Sequence[float], patience: int | None = None) -> tuple[int, float]:
@@ -221,13 +223,15 @@ def cv_rounds(
     label: str = "target",
     workers: int = 4,
     first_block: int = 16,
+    hopeless: Callable[[Sequence[float]], bool] | None = None,
 ) -> CvResult:
     """Cross-validated error after each boosting round, and the best round.
 
     Folds grow ``first_block`` rounds, then twice as many, and so on, until the mean curve has not improved for
     ``patience`` rounds; the draws of a round do not depend on how many follow, so a longer fit repeats the shorter
     one, and all fits together cost at most twice the last. Folds come from the key hash, so they are the same on
-    every run. Write the training matrix first: every fold reads it again.
+    every run. Write the training matrix first: every fold reads it again. ``hopeless`` sees the curve before more
+    rounds are added, and may end it.
     """
     folded = with_fold(train.select(key, "features", label), folds, key)
 
@@ -243,6 +247,8 @@ def cv_rounds(
         at, error = best_round(mean, patience)
         if rounds == params.rounds or at + patience <= rounds:
             return CvResult(mean, at, error)
+        if hopeless and hopeless(mean):
+            return CvResult(mean, at, error, stopped=True)
         rounds = min(2 * rounds, params.rounds)
 
 
