@@ -1,4 +1,4 @@
-"""Queries from stored weekly sketches, exact as long as a key has fewer values than a sketch holds."""
+"""Queries from stored weekly sketches, exact as long as a key has fewer values than a sketch holds, and from bitmaps."""
 
 from __future__ import annotations
 
@@ -45,7 +45,10 @@ SELECT agency_id, early, late, coalesce(shared, 0) AS "both"
 FROM ne JOIN nl USING (agency_id) LEFT JOIN nb USING (agency_id)""",
 )
 def sketch_seen_again(spark, sf_dir):
-    """Clients of an agency in its early weeks, in its late weeks and in both."""
-    tables = stored(spark, sf_dir)
-    early, late = (sk.over_weeks(tables, ["agency_id"], *weeks) for weeks in ((3, 5), (6, 9)))
-    return sk.seen_again(early, late, ["agency_id"], "client_id")
+    """Clients of an agency in its early weeks, in its late weeks and in both, from stored weekly sets.
+
+    An agency has more clients than a sketch holds, so its sets are bitmaps, which are exact at any size.
+    """
+    made = sk.weekly_members(fx_tables.sales(spark, sf_dir), ["agency_id"], "client_id")
+    tables = store.load_features(spark, store.save_features(made, fresh_folder(spark, "members")))
+    return sk.members_over(tables, ["agency_id"], (3, 5), (6, 9))

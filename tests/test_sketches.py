@@ -66,3 +66,22 @@ def test_values_seen_again(rows, stored):
 def test_a_range_reads_its_weeks_only(stored):
     plan = sk.over_weeks(stored, ["key"], 4, 5)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week" in plan
+
+
+def test_stored_sets_are_exact_beyond_a_sketch(spark, rows, tmp_path):
+    """A key with some 20,000 ids, negative ids, NULL ids among others, a key with NULL ids only and a NULL key."""
+    odd = spark.createDataFrame(
+        [(3, None, 5, 1.0), (6, None, 5, 1.0), (6, "none", None, None), (3, "few", None, 1.0), (6, "few", -7, 1.0)],
+        "week INT, key STRING, product_id BIGINT, demand DOUBLE")
+    known = rows.withColumn("product_id", F.col("product_id") * 11).unionByName(odd)
+    made = store.load_features(spark, store.save_features(sk.weekly_members(known, ["key"], "product_id"), str(tmp_path / "members")))
+    found = {r["key"]: tuple(r)[1:] for r in sk.members_over(made, ["key"], (3, 5), (6, 9)).collect()}
+    ids = {}
+    for r in known.where("key IS NOT NULL").groupBy("key").agg(
+        F.collect_set(F.when(F.col("week") <= 5, F.col("product_id"))).alias("early"),
+        F.collect_set(F.when(F.col("week") >= 6, F.col("product_id"))).alias("late"),
+    ).collect():
+        early, late = set(r["early"]), set(r["late"])
+        ids[r["key"]] = (len(early), len(late), len(early & late))
+    assert ids["hot"][0] > 1 << sk.ENTRIES
+    assert found == ids
