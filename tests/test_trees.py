@@ -91,3 +91,10 @@ def test_rows_are_not_in_their_own_means(spark):
     assert len(out) == 40 and tier_features(rows, rows).count() == 40
     alone = out_of_fold_features(rows.limit(1)).first()
     assert alone["p"] == 7.0 and alone["pr"] is None or alone["pr"] == 7.0
+
+
+def test_the_holdout_is_scored_beside_the_group_means():
+    from shelfcast.catalog import ORACLES
+
+    sql = ORACLES["q_holdout_boosted"]
+    assert "backoff_rmsle" in sql and "boosted_is_close" in sql and "constant_rmsle" in sql
