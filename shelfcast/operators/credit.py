@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
@@ -19,7 +20,7 @@ from pyspark.sql.types import NumericType
 
 from shelfcast.functions.scalars import known
 from shelfcast.operators.filters import cap
-from shelfcast.operators.models import fit_tree, in_parallel
+from shelfcast.operators.models import fit_tree, in_parallel, partitions_for
 from shelfcast.operators.trees import split_table, tree_nodes
 from shelfcast.session import cut_lineage
 
@@ -264,28 +265,73 @@ class Move:
     aic: float
 
 
-def weighted_products(rows: DataFrame, width: int, label: str, features: str = "__all", p: str = "__p") -> np.ndarray:
-    """Sums of ``w * a * b`` over all pairs of the inputs, a constant and the working response, from one pass.
+def logistic_sums(
+    rows: DataFrame, fits: Sequence[tuple[np.ndarray, np.ndarray]]
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Deviance, gradient and information of several logistic models at given coefficients, from one pass.
 
-    ``w`` and the working response are those of one step of the logistic fit that gave the probability ``p``. The
-    sums are aggregates, combined in the tasks, so one row of numbers reaches the driver.
+    ``rows`` has the inputs as an array ``x`` and the 0/1 flag ``y``; a fit is the places of its inputs and their
+    coefficients. Tasks add up their rows and Spark adds up the tasks, so the driver gets one set of sums per fit.
     """
-    p_, y = F.col(p), F.col(label)
-    w = F.greatest(p_ * (1 - p_), F.lit(1e-10))
-    values = vector_to_array(features)
-    ready = rows.select(
-        w.alias("w"),
-        *[values[i].alias(f"x{i}") for i in range(width)],
-        F.lit(1.0).alias(f"x{width}"),
-        (F.log(F.greatest(p_, F.lit(1e-10)) / F.greatest(1 - p_, F.lit(1e-10))) + (y - p_) / w).alias(f"x{width + 1}"),
-    )
-    n = width + 2
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = ready.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((n, n))
-    for (i, j), value in zip(pairs, sums):
-        out[i, j] = out[j, i] = value
-    return out
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0.0] * len(fits)
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for i, (own, coefficients) in enumerate(fits if len(y) else ()):
+                inputs = x[:, own]
+                eta = inputs @ coefficients
+                deviance = 2 * (np.logaddexp(0, eta) - y * eta).sum()
+                p = np.exp(-np.logaddexp(0, -eta))
+                weighted = inputs * np.maximum(p * (1 - p), 1e-10)[:, None]
+                sums[i] = sums[i] + np.concatenate([[deviance], inputs.T @ (y - p), (inputs.T @ weighted).ravel()])
+        for i, values in enumerate(sums):
+            if np.ndim(values):
+                places = np.arange(len(values), dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({"fit": np.full(len(values), i, np.int32), "place": places, "value": values})
+
+    added = rows.mapInArrow(add_up, "fit INT, place INT, value DOUBLE").groupBy("fit", "place").agg(F.sum("value"))
+    out = [np.zeros(1 + len(own) + len(own) ** 2) for own, _ in fits]
+    for i, place, value in added.collect():
+        out[i][place] = value
+    return [(v[0], v[1 : n + 1], v[n + 1 :].reshape(n, n)) for v, n in zip(out, (len(own) for own, _ in fits))]
+
+
+def solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least solution of a symmetric system; inputs of any scale, or that repeat each other, may be among its columns."""
+    scale = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    return np.linalg.pinv(matrix / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (right / scale) / scale
+
+
+def newton_logits(
+    rows: DataFrame, starts: Sequence[tuple[np.ndarray, np.ndarray]], max_iter: int = 25, tol: float = 1e-9
+) -> list[tuple[float, np.ndarray]]:
+    """Deviance and coefficients of several logistic models, fitted together: a pass over the rows is a step of all.
+
+    A model is done when its next step would lower the deviance by less than ``tol``. A step that raised the deviance is
+    halved.
+    """
+    best = [(np.inf, b) for _, b in starts]
+    now = [b for _, b in starts]
+    left = list(range(len(starts)))
+    for _ in range(max_iter):
+        sums = logistic_sums(rows, [(starts[i][0], now[i]) for i in left])
+        going = []
+        for i, (deviance, gradient, information) in zip(left, sums):
+            if deviance <= best[i][0] + tol:
+                best[i] = deviance, now[i]
+                step = solved(information, gradient)
+                if gradient @ step < tol:
+                    continue
+                now[i] = now[i] + step
+            else:
+                now[i] = (now[i] + best[i][1]) / 2
+            going.append(i)
+        left = going
+        if not left:
+            break
+    return best
 
 
 def step_errors(products: np.ndarray, subsets: Sequence[Sequence[int]]) -> list[float]:
@@ -304,7 +350,6 @@ def stepwise_aic(
     terms: Sequence[str] = LOGIT_TERMS,
     label: str = "target_flag",
     max_steps: int = 100,
-    workers: int = 4,
     refits: int | None = 2,
 ) -> tuple[Logit, list[Move]]:
     """Drop or re-add one term at a time while that lowers the AIC, from the full model on.
@@ -312,31 +357,41 @@ def stepwise_aic(
     A category enters or leaves whole. The cross products at the current model, one pass over the rows, give every
     move's AIC up to one step of its fit; the best ``refits`` moves are fitted exactly, and the best of them is taken.
     Where none lowers the AIC, all other moves are fitted as well before the search ends, so its end point is one that
-    no exact move improves. ``refits=None`` fits every move of every step. Each fit is distributed; only AIC values and
-    the products reach the driver. The columns of all terms are written once, for every fit to read.
+    no exact move improves. ``refits=None`` fits every move of every step. Moves that are fitted together start from
+    the products and share their passes, so a step takes a few passes however many moves it has; only AIC values and
+    the products reach the driver. The inputs of all terms are written once, for every pass to read.
     """
-    # Many short passes follow: few files where there are few rows, one per partition's worth where there are many.
-    train = cut_lineage(train.select(*terms, label).hint("rebalance"))
+    train = cut_lineage(train.select(*terms, label))
     levels = category_levels(train, terms)
     whole = design(terms, levels, "__all")
     columns = whole.stages[-1].getInputCols()
     made = {t: set(design([t], levels).stages[-1].getInputCols()) for t in terms}
     places = {t: [i for i, c in enumerate(columns) if c in made[t]] for t in terms}
-
-    def fit_all(options: Sequence[tuple]) -> list[Logit]:
-        return in_parallel(
-            train.sparkSession, [lambda o=o: fit_logit(train, o[2], label, levels=levels, written=True) for o in options], workers
-        )
-
-    current = fit_logit(train, terms, label, levels=levels, written=True)
-    moves = [Move(0, "start", "", current.aic)]
+    inputs = F.concat(vector_to_array("__all"), F.array(F.lit(1.0))).alias("x")
+    rows = whole.transform(train).select(inputs, F.col(label).cast("double").alias("y"))
+    # Many passes follow: about as much work for each task, however few files the rows came in.
+    rows = cut_lineage(rows.repartition(partitions_for(train.count())))
+    everything = np.arange(len(columns) + 1)
+
+    def inputs_of(kept: Sequence[str]) -> np.ndarray:
+        return np.array(sorted(i for t in kept for i in places[t]) + [len(columns)])
+
+    def aic_of(deviance: float, own: np.ndarray) -> float:
+        return float(deviance) + 2 * len(own)
+
+    kept, own = tuple(terms), everything
+    deviance, coefficients = newton_logits(rows, [(own, np.zeros(len(own)))])[0]
+    current = aic_of(deviance, own)
+    moves = [Move(0, "start", "", current)]
     while len(moves) <= max_steps:
-        kept = current.terms
         options = [("drop", t, tuple(k for k in kept if k != t)) for t in kept if len(kept) > 1]
         options += [("add", t, (*kept, t)) for t in terms if t not in kept]
+        at = np.zeros(len(everything))
+        at[own] = coefficients
+        _, gradient, information = logistic_sums(rows, [(everything, at)])[0]
+        response = information @ at + gradient
         if refits is not None:
-            scored = current.score(whole.transform(train).select(*train.columns, "__all"), "__p")
-            products = weighted_products(scored, len(columns), label)
+            products = np.block([[information, response[:, None]], [response[None, :], np.atleast_2d(at @ (response + gradient))]])
             subsets = [[i for t in option[2] for i in places[t]] for option in options]
             near = [e + 2 * len(s) for e, s in zip(step_errors(products, subsets), subsets)]
             options = [options[i] for i in np.argsort(near, kind="stable")]
@@ -344,14 +399,18 @@ def stepwise_aic(
         chosen = None
         for part in (options[:first], options[first:]):
             if chosen is None and part:
-                move, model = min(zip(part, fit_all(part)), key=lambda pair: pair[1].aic)
-                if model.aic < current.aic - 1e-7:
-                    chosen = move, model
+                tried = [inputs_of(option[2]) for option in part]
+                starts = [(o, solved(information[np.ix_(o, o)], response[o])) for o in tried]
+                fitted = newton_logits(rows, starts)
+                i = min(range(len(part)), key=lambda i: aic_of(fitted[i][0], tried[i]))
+                if aic_of(fitted[i][0], tried[i]) < current - 1e-7:
+                    chosen = part[i], tried[i], fitted[i]
         if chosen is None:
             break
-        (action, term, _), current = chosen
-        moves.append(Move(len(moves), action, term, current.aic))
-    return current, moves
+        (action, term, kept), own, (deviance, coefficients) = chosen
+        current = aic_of(deviance, own)
+        moves.append(Move(len(moves), action, term, current))
+    return fit_logit(train, kept, label, levels=levels, written=True), moves
 
 
 def moves_table(df: DataFrame, moves: Sequence[Move]) -> DataFrame:
