@@ -227,8 +227,7 @@ def credit_contract(spark, sf_dir):
     )
     right = F.sum(F.when(F.col("correct") == 1, F.col("rows")).otherwise(0))
     hits = result.hits.agg(F.sum("rows").alias("validated"), right.alias("right"))
-    ready = cut_lineage(cr.prepare_applicants(train, test, PREDICTORS)[0])
-    own = result.logit.score(ready, "p").withColumn("m", ready.agg(F.avg("target_flag")).scalar())
+    own = result.logit.score(result.ready, "p").withColumn("m", result.ready.agg(F.avg("target_flag")).scalar())
     fit = own.agg(deviance(F.col("m")).alias("null_deviance"), deviance(F.col("p")).alias("own"))
     parts = read.withColumns({
         "validated": hits.select("validated").scalar(),

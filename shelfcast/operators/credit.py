@@ -445,9 +445,12 @@ def fit_mlp_ensemble(
     max_iter: int = 20,
     workers: int = 2,
 ) -> MlpEnsemble:
-    """Neural classifiers with seeds 1, 2, ...: sigmoid layers, trained by L-BFGS on all partitions."""
+    """Neural classifiers with seeds 1, 2, ...: sigmoid layers, trained by L-BFGS on all partitions.
+
+    Every network reads the rows again, so they are dealt evenly to tasks and written once.
+    """
     matrix = design(terms, category_levels(train, terms))
-    ready = cut_lineage(matrix.transform(train).select("features", label))
+    ready = cut_lineage(matrix.transform(train).select("features", label).repartition(partitions_for(train.count())))
     width = len(matrix.stages[-1].getInputCols())
 
     def fit(seed: int):

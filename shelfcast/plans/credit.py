@@ -25,12 +25,13 @@ PREDICTORS = (*APPLICANT_NUMBERS, *APPLICANT_CATEGORIES)
 
 @dataclass(frozen=True)
 class CreditScores:
-    """Scored test rows, the validation hit table and the models."""
+    """Scored test rows, the validation hit table, the models and the prepared training rows."""
 
     scores: DataFrame
     hits: DataFrame
     logit: Logit
     networks: MlpEnsemble | None
+    ready: DataFrame
 
 
 def score_applicants(
@@ -53,4 +54,4 @@ def score_applicants(
     if networks:
         mlp = fit_mlp_ensemble(ready, terms, fits=networks)
         scores = mlp.score(scores, "p_target_flag_network")
-    return CreditScores(scores, hits, logit, mlp)
+    return CreditScores(scores, hits, logit, mlp, ready)
