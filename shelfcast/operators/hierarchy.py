@@ -209,7 +209,7 @@ def out_of_fold_features(
     """``tier_features`` for the rows that the means come from: no row's own fold is in its means.
 
     Sums and counts per group and fold come from one pass over the rows. A group's table row holds its totals and those
-    of its folds, so a row's mean is total minus own fold, and one join per group answers all folds. A group that only
+    of its folds, from one shuffle per group, so a row's mean is total minus own fold, and one join per group answers all folds. A group that only
     the row's own fold has is unknown, as it would be for a row to predict.
     """
     finest = list(dict.fromkeys(k for t in tiers for k in t.keys))
@@ -218,16 +218,18 @@ def out_of_fold_features(
     complete = folded.where(reduce(and_, [F.col(k).isNotNull() for k in finest]))
     base = complete.groupBy(*finest, "__fold").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     for tier in tiers:
-        parts = base.groupBy(*tier.keys, "__fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        part = F.struct("__fold", F.struct("s", "n"))
-        table = parts.groupBy(*tier.keys).agg(
-            F.sum("s").alias("__s"), F.sum("n").alias("__n"), F.map_from_entries(F.collect_list(part)).alias("__parts")
+        inside = [F.col("__fold") == k for k in range(folds)]
+        table = base.groupBy(*tier.keys).agg(
+            F.sum("s").alias("__s"),
+            F.sum("n").alias("__n"),
+            F.array(*[F.sum(F.when(here, F.col("s"))) for here in inside]).alias("__own_s"),
+            F.array(*[F.sum(F.when(here, F.col("n"))) for here in inside]).alias("__own_n"),
         )
-        own = F.try_element_at("__parts", F.col("__fold"))
-        others = F.when(F.col("__n") > own["n"], (F.col("__s") - own["s"]) / (F.col("__n") - own["n"]))
+        own_s, own_n = (F.get(c, F.col("__fold")) for c in ("__own_s", "__own_n"))
+        others = F.when(F.col("__n") > own_n, (F.col("__s") - own_s) / (F.col("__n") - own_n))
         scale, offset = TIER_INPUTS.get(tier.name, PLAIN_INPUT)
         folded = lookup_join(folded, table, tier.keys, hot)
-        folded = folded.withColumn(tier.name, F.exp(others) * scale + offset).drop("__s", "__n", "__parts")
+        folded = folded.withColumn(tier.name, F.exp(others) * scale + offset).drop("__s", "__n", "__own_s", "__own_n")
     return fill_from(folded.drop("__fold"), [t.name for t in tiers if t.name != "p"], "p").fillna({"p": default})
 
 
