@@ -7,7 +7,7 @@ stops at its target; slots that the sequence gives it beyond that are left out,
 discrepancy, a few per source) are appended, so that every source takes exactly its target in whole words.
 
 Nothing is ranked in one task: running sums over documents and slots are made per bucket of hash or slot range, whose
-totals are summed up first.
+totals are summed up first. Texts and other columns that are kept are moved once, to the words that the mix takes.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; documents without
 words take none; repeated rows are separate documents; an empty table gives an empty mix.
@@ -16,6 +16,7 @@ words take none; repeated rows are separate documents; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -158,30 +159,38 @@ def mix(
     """
     names = {n: unused(n, keep) for n in ("size", "source_size", "target", "taken")}
     body = F.col(text).cast("string")
+    r1 = F.xxhash64(F.col(doc_id), F.lit(1), body, F.lit(2), F.col(source))
+    r2 = F.hash(body, F.lit(7), F.col(doc_id), F.lit(8), F.col(source))
     held = F.struct(*[F.col(c) for c in keep]).alias("held")
-    listed = materialize(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            held,
-            F.col(doc_id).cast("string").alias("tie"),
-            F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            mix_key(doc_id, text).alias("key"),
-        ),
-        "mix-documents",
-    )
+    measured = [
+        F.col(doc_id).cast("string").alias("tie"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        mix_key(doc_id, text).alias("key"),
+    ]
+    # What is kept of a row stays where it is until the end: 96 bits name the row. Rows of one name are written with
+    # what is kept of them, and have numbers instead.
+    name = ["r1", "r2", "row"]
+    listed = materialize(docs.select(r1.alias("r1"), r2.alias("r2"), F.lit(-1).cast("long").alias("row"), *measured), "mix-documents")
+    again = materialize(listed.groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"), "mix-again")
+    copies = None
+    if again.limit(1).count():
+        rows = docs.select(r1.alias("r1"), r2.alias("r2"), held, *measured).join(again, ["r1", "r2"], "left_semi")
+        copies = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mix-copies")
+        single = listed.join(again, ["r1", "r2"], "left_anti").select(*listed.columns)
+        listed = materialize(single.unionByName(copies.select(*listed.columns)), "mix-documents")
     plan = targets(listed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     plan = materialize(plan.withColumn("quota", F.floor("target")), "mix-targets")
 
     same = F.col("source").eqNullSafe(F.col("_source"))
     sources = plan.select(F.col("source").alias("_source"), "position")
-    placed = listed.select("row", "tie", "source", "size", "key").join(sources, same).drop("source", "_source")
+    placed = listed.select(*name, "tie", "source", "size", "key").join(sources, same).drop("source", "_source")
     n_docs = listed.count()
     bits = max(0, (n_docs // BUCKET_ROWS).bit_length())
     bucket = F.shiftright("key", KEY_BITS - bits)
-    starts = running(placed.where("size > 0"), "position", bucket, ["key", "tie", "size", "row"], F.col("size"), "start")
+    starts = running(placed.where("size > 0"), "position", bucket, ["key", "tie", "size", *name], F.col("size"), "start")
     pieces = (
-        starts.select("row", "position", "start", (F.col("start") + F.col("size")).alias("stop"))
+        starts.select(*name, "position", "start", (F.col("start") + F.col("size")).alias("stop"))
         .withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (stop - 1) div {block_words})")))
         .withColumn("from", F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0)))
         .withColumn("to", F.least(F.col("stop") - F.col("block") * block_words, F.lit(block_words)))
@@ -192,19 +201,23 @@ def mix(
         "takes", F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.least(F.col("to"), w) - F.col("from"), F.lit(0))
     )
     taken = (
-        pieces.join(slots, ["position", "block"]).groupBy("row").agg(F.sum(overlap).alias("taken"))
+        pieces.join(slots, ["position", "block"]).groupBy(*name).agg(F.sum(overlap).alias("taken"))
     )
     facts = plan.select(F.col("source").alias("_source"), "source_size", "target")
-    result = (
-        listed.select("row", "held", "source", "size")
-        .join(taken, "row", "left")
-        .join(facts, same)
-        .select(
+    marks = listed.select(*name, "source", "size").join(taken, name, "left").join(facts, same)
+    marks = materialize(marks.select(*name, "size", "source_size", "target", "taken"), "mix-marks")
+    single = docs.select(r1.alias("r1"), r2.alias("r2"), held).join(marks.where("row < 0"), ["r1", "r2"])
+    parts = [single]
+    if copies is not None:
+        parts.append(copies.select("row", "held").join(marks.where("row >= 0"), "row"))
+    results = [
+        part.select(
             *[F.col("held")[c].alias(c) for c in keep],
             F.col("size").alias(names["size"]),
             F.col("source_size").alias(names["source_size"]),
             F.col("target").alias(names["target"]),
             F.coalesce("taken", F.lit(0)).cast("long").alias(names["taken"]),
         )
-    )
-    return result, names
+        for part in parts
+    ]
+    return reduce(DataFrame.unionByName, results), names

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from shelfcast.llm.common import identified, map_text, materialize, unused
 from shelfcast.llm.graph import components
@@ -45,6 +45,9 @@ MARGIN = 0.25
 STAR_ROUNDS = 2
 #: Star rounds over the rare elements of dense sets, before all pairs that are still open.
 PREFIX_ROUNDS = 3
+#: Bits of the map by which texts that nobody asks for stay where they are (16 MB), and of one of its pieces.
+MAP_BITS = 1 << 27
+PIECE_BITS = 8 * 4096
 #: Each pair stands once, the smaller set first.
 BY_SIZE = "(na < nb OR na = nb AND a < b)"
 
@@ -86,8 +89,8 @@ def shingler(width: int):
     return hashes
 
 
-def identity(values: np.ndarray) -> str | None:
-    return blake2b(values.tobytes(), digest_size=16).hexdigest() if len(values) else None
+def identity(values: np.ndarray) -> bytes | None:
+    return blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
 def sketches(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -99,7 +102,7 @@ def sketches(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc
         def kernel(texts):
             sets = [shingles(raw) for raw in texts]
             return [
-                pa.array([identity(s) for s in sets], pa.string()),
+                pa.array([identity(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
             ]
@@ -107,13 +110,28 @@ def sketches(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc
         return kernel
 
     named = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body"))
-    fields = [StructField("class", StringType()), StructField("n", LongType()), StructField("sketch", ArrayType(LongType()))]
+    fields = [StructField("class", BinaryType()), StructField("n", LongType()), StructField("sketch", ArrayType(LongType()))]
     return map_text(named, make, fields, text="body", keep=["id"])
 
 
+def perhaps_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, and few others: by a map of hashed keys, bounded however many there are.
+
+    A join with ``wanted`` has to follow; it moves the rows that are left only.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    marks = wanted.select(slot(wanted_key).alias("_slot")).groupBy(F.expr(f"_slot div {PIECE_BITS}").alias("_piece"))
+    marks = marks.agg(F.bitmap_construct_agg(F.col("_slot") % PIECE_BITS).alias("_map"))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, int(_slot % {PIECE_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumn("_slot", slot(key)).withColumn("_at", F.expr(f"_slot div {PIECE_BITS}"))
+    found = found.join(F.broadcast(marks), F.col("_at") == F.col("_piece"))
+    return found.where(F.call_function("getbit", byte, (F.col("_slot") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(class, set)`` for the classes of ``wanted``, whose ``id`` names one document each."""
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("body"))
+    body = perhaps_in(body, "_id", wanted, "id")
     found = wanted.select("id", F.col("class").alias("expected")).join(body, F.col("id").eqNullSafe(F.col("_id")))
 
     def make():
@@ -121,11 +139,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str = "text"
 
         def kernel(texts):
             sets = [shingles(raw) for raw in texts]
-            return [pa.array([identity(s) for s in sets], pa.string()), pa.array(sets, pa.list_(pa.int64()))]
+            return [pa.array([identity(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
 
         return kernel
 
-    fields = [StructField("class", StringType()), StructField("set", ArrayType(LongType()))]
+    fields = [StructField("class", BinaryType()), StructField("set", ArrayType(LongType()))]
     # A document id that occurs with several texts finds the one of its class; copies of the same row give one row.
     sets = map_text(found, make, fields, text="body", keep=["expected"]).where("class = expected")
     return sets.groupBy("class").agg(F.first("set").alias("set"))
