@@ -33,12 +33,14 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from shelfcast.llm.common import map_text, materialize
 from shelfcast.llm.range_coder import BLOCK_IDS, LANES, crc_of, decode_blocks, encode_blocks
 
-#: White space that every word tokenizer drops or cuts at; a text's ids are those of its words.
-SPACES = re.compile(r"[ \t\n\r]+")
+#: White space that every word tokenizer drops or cuts at, as blanks; a text's ids are those of its words.
+BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 
-#: Known words that a task keeps, and new ones that are encoded as one text.
+#: Known words that a Python worker keeps, and new ones that are encoded as one text.
 KEPT_WORDS = 1_000_000
 WORDS_AT_ONCE = 1_000
+#: A sign that stands between words of one text, where the tokenizer makes one id of it.
+BETWEEN = "\x01"
 
 
 class WordTokenizer:
@@ -50,14 +52,18 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.between, self.mark = next(iter(special.items()), (None, None))
+        # A special token costs a search and a text of its own; an ordinary word that is one id does not.
+        alone, (sign,) = self.encode([f" {BETWEEN} "])[0], self.encode([f"a {BETWEEN} {BETWEEN} a"])
+        if len(alone) == 1 and sign.count(alone[0]) == 2 and self.between is not None:
+            self.between, self.mark = BETWEEN, alone[0]
+        self.special = re.compile("|".join(map(re.escape, [*special, BETWEEN]))) if special else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; many words are one text, with a special token between them."""
+        """Ids of each word; many words are one text, with a sign between them."""
         if self.special is None:
             return [np.array(ids, np.uint32) for ids in self.encode(words)]
         out: list = [None] * len(words)
@@ -69,6 +75,9 @@ class WordTokenizer:
         for part, ids in zip(parts, self.encode([joint.join([words[i] for i in p]) for p in parts])):
             chain = np.array(ids, np.uint32)
             cuts = [-1, *np.flatnonzero(chain == self.mark).tolist(), len(chain)]
+            if len(cuts) != len(part) + 1:  # a word has the sign's id
+                odd += part
+                continue
             for i, lo, hi in zip(part, cuts, cuts[1:]):
                 out[i] = chain[lo + 1 : hi]
         for i, ids in zip(odd, self.encode([words[i] for i in odd]) if odd else []):
@@ -77,7 +86,7 @@ class WordTokenizer:
 
 
 class TextEncoder:
-    """Ids of texts by the words that a task has seen."""
+    """Ids of texts by the words seen so far."""
 
     def __init__(self, tokenizer: WordTokenizer):
         self.tokenizer = tokenizer
@@ -89,30 +98,48 @@ class TextEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        split = [SPACES.split(raw.decode("utf-8", "replace")) if raw else [] for raw in texts]
+        split = [raw.translate(BLANKS).decode("utf-8", "replace").split(" ") if raw else [] for raw in texts]
         words = [w for ws in split for w in ws]
         if len(self.known) > KEPT_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, i in zip(words, at) if i is None))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             found = self.tokenizer.words(new)
             self.ids = np.concatenate([self.ids, *found])
             self.counts = np.append(self.counts, np.fromiter(map(len, found), np.int64, len(found)))
             self.starts = np.cumsum(self.counts) - self.counts
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            at = [self.known[w] if i is None else i for w, i in zip(words, at)]
+        at = np.array(at, np.int64)
         counts = self.counts[at] if len(at) else np.zeros(0, np.int64)
         shift = np.repeat((self.starts[at] if len(at) else counts) - (np.cumsum(counts) - counts), counts)
         doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
         return self.ids[np.arange(len(shift)) + shift], np.bincount(doc, counts, len(texts)).astype(np.int64)
 
 
+#: The encoder of this Python worker, by the function that loads its tokenizer: a worker's tasks meet the same words.
+_ENCODER: list[tuple[Callable, TextEncoder]] = []
+
+
+def encoder_of(load: Callable[[], WordTokenizer]) -> TextEncoder:
+    if not _ENCODER or _ENCODER[0][0] is not load:
+        _ENCODER[:] = [(load, TextEncoder(load()))]
+    return _ENCODER[0][1]
+
+
+def forget_words() -> None:
+    """Give the memory of known words back, before a task that needs none."""
+    for _, encoder in _ENCODER:
+        encoder.clear()
+
+
 def tokenized(docs: DataFrame, load: Callable[[], WordTokenizer], end_id: int, text: str, doc_id: str) -> DataFrame:
     """``doc``, a hash of the text, and the compressed ids with the end mark, written."""
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("mix"), F.col(text).alias("text"))
 
     def make():
-        encoder = TextEncoder(load())
+        encoder = encoder_of(load)
         pack = zstandard.ZstdCompressor(level=1).compress
 
         def kernel(texts):
@@ -185,6 +212,7 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         open_, part = zstandard.ZstdDecompressor().decompress, None
         for batch in batches:
             docs_ = batch.column("doc")

@@ -148,3 +148,21 @@ def test_query(spark, sf_dir, whole):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     out = QUERIES["op13_token_files"](spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == brute([tuple(d) for d in docs], whole)
+
+
+def test_words_with_the_sign_between_words(whole):
+    """Words are told apart by a sign that they may hold themselves; no special token is searched for."""
+    tokenizer = word_tokenizer()
+    assert tokenizer.between == tf.BETWEEN
+    words = ["a", "\x01", "x\x01", "\x01\x01y", "é", "", "<|endoftext|>", "b"] * 3
+    assert [w.tolist() for w in tokenizer.words(words)] == [whole(w)[:-1] for w in words]
+    tokenizer.mark = whole("b")[0]  # were the sign's id that of a word as well, words would be encoded alone
+    assert [w.tolist() for w in tokenizer.words(["a", "b", "c"])] == [whole(w)[:-1] for w in ("a", "b", "c")]
+
+
+def test_a_worker_keeps_its_words():
+    encoder = tf.encoder_of(word_tokenizer)
+    encoder.encode([b"some words some"])
+    assert tf.encoder_of(word_tokenizer) is encoder and "words" in encoder.known
+    tf.forget_words()
+    assert not tf.encoder_of(word_tokenizer).known
