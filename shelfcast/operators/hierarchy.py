@@ -109,7 +109,8 @@ def fit_tiers(sales: DataFrame, tiers: Iterable[Tier] = TIERS) -> dict[str, Data
 
     Mean tiers are rolled up from one shared table of sums and counts on the union of their keys. Ids
     are declared non-null; saying so here gives every tier the same plan below that table, and Spark
-    then reads and shuffles the sales rows once for all of them. A median tier first counts rows per
+    then reads and shuffles the sales rows once for all of them. A tier on all these keys is that table itself: grouping
+    it again would hold its groups three times in a task. A median tier first counts rows per
     demand value, which keeps a group that owns most rows small before its one task sees it.
     """
     tiers = list(tiers)
@@ -120,7 +121,9 @@ def fit_tiers(sales: DataFrame, tiers: Iterable[Tier] = TIERS) -> dict[str, Data
     base = complete.groupBy(*finest).agg(F.sum(value).alias("s"), F.count(value).alias("n")) if means else None
     fitted = {}
     for tier in tiers:
-        if tier.stat == "mean":
+        if tier.stat == "mean" and set(tier.keys) == set(finest):
+            table = base.select(*tier.keys, (F.col("s") / F.col("n")).alias(tier.name))
+        elif tier.stat == "mean":
             table = base.groupBy(*tier.keys).agg((F.sum("s") / F.sum("n")).alias(tier.name))
         else:
             counts = sales.groupBy(*tier.keys, "demand").agg(F.count("*").alias("n"))
