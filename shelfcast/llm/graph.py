@@ -19,14 +19,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(one_way.unionByName(other).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")), "labels")
     while True:
-        spread = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("root").alias("near"))
-        lower = materialize(
-            labels.join(spread, labels["node"] == spread["dst"], "left").select(
-                "node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old")
-            ),
-            "labels",
-        )
-        if lower.where("root != old").limit(1).count() == 0:
+        near = both.join(labels, both["src"] == labels["node"]).select(F.col("dst").alias("node"), "root")
+        # Own labels and those of neighbours meet in one shuffle; only an own label counts as the old one.
+        spread = labels.withColumn("old", F.col("root")).unionByName(near, allowMissingColumns=True)
+        lower = materialize(spread.groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old")), "labels")
+        if lower.where("root != old").isEmpty():
             return labels
         up = lower.select(F.col("node").alias("up"), F.col("root").alias("top"))
         jumped = lower.join(up, lower["root"] == up["up"]).select("node", F.least("root", "top").alias("root"))

@@ -45,8 +45,10 @@ MARGIN = 0.25
 STAR_ROUNDS = 2
 #: Star rounds over the rare elements of dense sets, before all pairs that are still open.
 PREFIX_ROUNDS = 3
-#: Bits of the map by which texts that nobody asks for stay where they are (16 MB), and of one of its pieces.
-MAP_BITS = 1 << 27
+#: Bits of the map by which texts that nobody asks for stay where they are (0.5 to 16 MB), bits per text that is asked
+#: for, and bits of one of its pieces.
+LEAST_BITS, MAP_BITS = 1 << 22, 1 << 27
+BITS_EACH = 64
 PIECE_BITS = 8 * 4096
 #: Each pair stands once, the smaller set first.
 BY_SIZE = "(na < nb OR na = nb AND a < b)"
@@ -114,12 +116,19 @@ def sketches(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc
     return map_text(named, make, fields, text="body", keep=["id"])
 
 
+def map_bits(n_wanted: int) -> int:
+    """A power of two, so that one row in ``BITS_EACH`` that is not wanted is found at most until the map is full."""
+    return min(MAP_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n_wanted - 1).bit_length()))
+
+
 def perhaps_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows whose key is in ``wanted``, and few others: by a map of hashed keys, bounded however many there are.
 
-    A join with ``wanted`` has to follow; it moves the rows that are left only.
+    The map, which the driver holds while it is sent, has the size that ``wanted`` (a written table) needs. A join with
+    ``wanted`` has to follow; it moves the rows that are left only.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = map_bits(wanted.count())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = wanted.select(slot(wanted_key).alias("_slot")).groupBy(F.expr(f"_slot div {PIECE_BITS}").alias("_piece"))
     marks = marks.agg(F.bitmap_construct_agg(F.col("_slot") % PIECE_BITS).alias("_map"))
     byte = F.conv(F.hex(F.expr(f"substring(_map, int(_slot % {PIECE_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
@@ -204,13 +213,12 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
         return pairs.join(own, end)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """``(ra, rb)`` roots joined by the linked ones among the pairs ``(a, b, na, nb, ra, rb)``."""
-        close = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        close = close.select("a", "b", "ra", "rb").distinct()
+        """``(ra, rb)`` roots joined by the linked ones among the different pairs ``(a, b, na, nb, ra, rb)``."""
+        close = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "ra", "rb")
         close = with_column(with_column(close, "a", "sketch"), "b", "sketch")
         close = close.where(promising("a_sketch", "b_sketch", percent)).select("a", "b", "ra", "rb")
         exact = with_column(with_column(close, "a", "set"), "b", "set")
-        return materialize(exact.where(similar("a_set", "b_set", percent)).select("ra", "rb").distinct(), "links")
+        return materialize(exact.where(similar("a_set", "b_set", percent)).select("ra", "rb"), "links")
 
     def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
         top = components(links, "ra", "rb")
@@ -225,7 +233,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
         centre = F.max_by(F.struct("class", "n", "root"), rank)
         open_lists = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), centre.alias("c"))
         open_lists = materialize(open_lists.where("lo != hi").select("value", "c"), "open-lists")
-        if open_lists.limit(1).count() == 0:
+        if open_lists.isEmpty():
             break
         if k < STAR_ROUNDS:
             star = placed.join(open_lists, "value").where("root != c.root")
@@ -239,10 +247,10 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             first = prefixes(dense, percent)
             for j in range(PREFIX_ROUNDS):
                 pairs = materialize(prefix_stars(first.join(roots, "class"), percent, j), "prefix-stars")
-                if pairs.limit(1).count() == 0:
+                if pairs.isEmpty():
                     break
                 links = verified(pairs)
-                if links.limit(1).count() == 0:
+                if links.isEmpty():
                     break
                 roots = merge(roots, links)
             rest = lists.where("NOT long").join(open_lists.select("value"), "value").join(roots, "class")
@@ -250,9 +258,9 @@ def linked_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int
             right = rest.selectExpr("value", "class AS b", "n AS nb", "root AS rb")
             sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
             short = left.join(right, "value").where(f"{BY_SIZE} AND ra != rb AND {sized}").drop("value")
-            pairs = short.unionByName(prefix_pairs(first.join(roots, "class"), percent))
+            pairs = short.unionByName(prefix_pairs(first.join(roots, "class"), percent)).distinct()
         links = verified(pairs)
-        if links.limit(1).count():
+        if not links.isEmpty():
             roots = merge(roots, links)
     return roots
 
@@ -267,7 +275,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     holders, so a pair meets once per block and not once per element. A block stands in one piece in the order, and
     its first element, at position ``at``, is the same in all its sets. ``scale`` counts the steps of the largest ratio of sizes allowed.
     """
-    items = materialize(sets.select("class", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
+    # A row per element: the sets are dealt evenly first, however the files or joins that they come from are cut.
+    even = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items = materialize(even.select("class", F.size("set").alias("n"), F.explode("set").alias("value")), "elements")
     holders = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"block{k}") for k in (1, 2)]
     common = items.groupBy("value").agg(F.count("*").alias("f"), *holders).where("f > 1")
     items = items.join(materialize(common, "common-elements"), "value")
