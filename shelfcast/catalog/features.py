@@ -12,7 +12,8 @@ from shelfcast.catalog.scans import WEEKLY_SQL
 from shelfcast.operators import features as ft
 from shelfcast.operators.filters import demand_between, week_range
 from shelfcast.operators.hierarchy import out_of_fold_features, tier_features
-from shelfcast.session import fresh_folder
+from shelfcast.schema import SALES_COLUMNS
+from shelfcast.session import cut_lineage, fresh_folder
 from shelfcast.sources import store
 
 GRAINS = {"pcw": ft.PAIR_WEEK, "cw": ft.CLIENT_WEEK, "rw": ft.ROUTE_WEEK, "prw": ft.PRODUCT_ROUTE_WEEK}
@@ -162,8 +163,9 @@ LEFT JOIN pairs ON b.product_id = pairs.product_id AND b.client_id = pairs.clien
     ),
 )
 def model_table_train(spark, sf_dir):
-    known = history(spark, sf_dir)
-    tables = ft.build_features(known, fx_tables.brands(spark, sf_dir))
+    """Order lines meet their orders once; the features and the rows they are attached to read the written lines."""
+    known = cut_lineage(history(spark, sf_dir).select(*SALES_COLUMNS))
+    tables = ft.build_features(known, fx_tables.brands(spark, sf_dir), written=True)
     return rounded(ft.model_table(week_range(known), tables).select(*TABLE_COLUMNS, "target"))
 
 
