@@ -8,6 +8,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.operators.features import FeatureTables
+from shelfcast.session import remove_folder
 
 
 def save_features(df: DataFrame, path: str, by_week: bool | None = None) -> str:
@@ -67,8 +68,18 @@ def submission_long(df: DataFrame, models: Mapping[str, str], key: str = "id", n
     return wide.unpivot([key], list(models), "model", name)
 
 
-def write_submissions(df: DataFrame, path: str, models: Mapping[str, str], **kwargs) -> str:
-    """All prediction files in one job: one folder per model below ``path``."""
+def write_submissions(df: DataFrame, path: str, models: Mapping[str, str], written: bool = False, **kwargs) -> str:
+    """All prediction files in one job: one folder per model below ``path``.
+
+    ``written`` tells that the predictions are a plain scan. Each file is then a pass of its own over them, which moves
+    and sorts nothing.
+    """
+    if written:
+        remove_folder(df.sparkSession, path)
+        for model in models:
+            rows = submission_long(df, {model: models[model]}, **kwargs).drop("model")
+            rows.write.option("header", True).csv(f"{path}/model={model}")
+        return path
     long = submission_long(df, models, **kwargs)
     long.hint("rebalance", "model").write.mode("overwrite").partitionBy("model").option("header", True).csv(path)
     return path
