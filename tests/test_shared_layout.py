@@ -61,3 +61,8 @@ def test_written_predictions_go_to_files_without_a_shuffle(spark, tmp_path):
         store.write_submissions(df, path, models, written=True)
     found = spark.read.schema("id STRING, demand DOUBLE, model STRING").option("header", True).csv(path)
     assert rows_of(found) == rows_of(store.submission_long(df, {"one": "x", "two": "y"}).select("id", "demand", "model"))
+
+
+def test_large_fits_have_few_partitions():
+    """A hundred million rows had a thousand partitions, each of which shuffled the statistics of every node."""
+    assert [md.boosted_partitions(n) for n in (0, 2_000_000, 2_700_000, 16_500_000, 99_000_000)] == [8, 8, 11, 48, 50]
